@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_words, embedding_dedup, packing, simhash, token_counts
+from . import bpe_words, embedding_dedup, packing, simhash, suffix_dedup, token_counts
 from .common import table
 
 #: Tokens above which op3 marks a document.
@@ -28,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +44,6 @@ def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash, op7_embedding_dedup, op8_packing, op9_bpe_words)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash, op6_suffix_dedup, op7_embedding_dedup, op8_packing, op9_bpe_words)}
 
 ORACLES: dict[str, str] = {}
