@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_words, embedding_dedup, packing, simhash, suffix_dedup, token_counts
+from . import bpe_words, embedding_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 from .common import table
 
 #: Tokens above which op3 marks a document.
@@ -19,6 +19,14 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -44,6 +52,6 @@ def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash, op6_suffix_dedup, op7_embedding_dedup, op8_packing, op9_bpe_words)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op5_simhash, op6_suffix_dedup, op7_embedding_dedup, op8_packing, op9_bpe_words)}
 
 ORACLES: dict[str, str] = {}
