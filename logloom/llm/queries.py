@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_words, embedding_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
+from . import bpe_words, embedding_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, url_filters
 from .common import table
 
 #: Tokens above which op3 marks a document.
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,10 @@ def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op5_simhash, op6_suffix_dedup, op7_embedding_dedup, op8_packing, op9_bpe_words)}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_embedding_dedup, op8_packing, op9_bpe_words, op10_url_filters)}
 
 ORACLES: dict[str, str] = {}
