@@ -3,9 +3,10 @@
 A line is the set of its words.  A line goes if an earlier line (by document id,
 then position) has a Jaccard similarity of ``SIMILARITY`` or more.
 
-1. Every line's words become 56-bit hashes, ordered by rarity: the class of the
-   number of words that share its one of ``BUCKETS`` buckets (a table of fixed
-   size), then the hash.  Any such order is valid for prefix filtering.
+1. Every line's words become 56-bit hashes under a rarity class: how many words
+   of the corpus share the hash's one of ``BUCKETS`` buckets (a table of fixed
+   size, counted over all words).  Sorted, they run from rare to frequent; any
+   such order is valid for prefix filtering.
 2. Lines with equal sets are one: the earliest stands for all.
 3. The prefix of a set (its rarest words, one more than may be missing) goes out
    by word, with the set's size, the word's place and a bitmap of the words.
@@ -29,8 +30,6 @@ from .common import Stored, needed, release
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 BUCKETS = 1 << 16
-#: Sets that stand more often than this share of all lines are known to the scan (so at most 1 / HOT_SHARE sets).
-HOT_SHARE, HOT_LEAST = 1e-5, 256
 _HASH = (1 << 56) - 1
 _BITS = 47
 
@@ -38,27 +37,35 @@ ROW = ("doc_id", "h", "pos")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, words): distinct word hashes of every line with enough words."""
-    line = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    empty = F.xxhash64(F.lit("")).bitwiseAND(_HASH)
-    words = F.array_remove(F.array_distinct(F.transform(F.split("line", "[ \\t-\\r]+"), lambda w: F.xxhash64(w).bitwiseAND(_HASH))), empty)
-    return line.select(*ROW, words.alias("words")).where(F.size("words") >= LEAST_WORDS)
-
-
-def _classes(lines: DataFrame) -> DataFrame:
-    """One row with an array: of each bucket, the class of how many words fall in it."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).count()
-    buckets = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    level = F.least(F.floor(F.log2(F.coalesce("count", F.lit(0)) + 1) * 4), F.lit(126)).cast("int")
-    return buckets.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.alias("c")))), lambda x: x["c"]).alias("classes"))
+    """(doc_id, h, pos, line) with single blanks for all white space within lines."""
+    # the outer form adds no filter that would split every text twice
+    lines = docs.select("doc_id", "h", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    other = [F.contains("line", F.lit(c)) for c in "\t\r\x0b\x0c"]
+    return lines.withColumn("line", F.when(other[0] | other[1] | other[2] | other[3], F.translate("line", "\t\r\x0b\x0c", "    ")).otherwise(F.col("line")))
+
+
+def _classes(lines: DataFrame) -> list[int]:
+    """Of each bucket, the class of how many words fall in it."""
+    bucket = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int")
+    counts = lines.select(F.explode_outer(F.split("line", " ")).alias("w")).groupBy(bucket.alias("b")).count()
+    level = F.least(F.floor(F.log2(F.col("count") + 1) * 4), F.lit(126)).cast("int")
+    out = [0] * BUCKETS
+    for row in counts.select("b", level.alias("c")).collect():  # BUCKETS rows at most
+        out[row["b"]] = row["c"]
+    return out
+
+
+def _sets(lines: DataFrame, classes: list[int]) -> DataFrame:
+    """Lines with their sets of words, sorted from rare to frequent."""
+    # a fixed number of small integers, folded to one literal array
+    known = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
+    def code(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.shiftleft(F.get(known, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(h.bitwiseAND(_HASH))
 
-def _ordered(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """Lines with their words from rare to frequent."""
-    # a fixed number of small integers, folded to one literal array
-    known = F.split(F.lit(",".join(map(str, classes.first()["classes"]))), ",").cast("array<int>")
-    place = lambda w: F.get(known, w.bitwiseAND(BUCKETS - 1).cast("int"))
-    return lines.withColumn("words", F.array_sort(F.transform("words", lambda w: F.shiftleft(place(w).cast("long"), 56).bitwiseOR(w))))
+    words = F.sort_array(F.array_except(F.transform(F.split("line", " "), code), F.array(code(F.lit("")))))
+    return lines.select(*ROW, words.alias("words"))
 
 
 def _need(n: Column, m: Column) -> Column:
@@ -66,20 +73,18 @@ def _need(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
 
 
-def _prefixes(ordered: DataFrame) -> DataFrame:
-    """(word, set, meta, place): meta packs the set's size above a bitmap of its words."""
-    n = F.size("words")
+def _index(sets: DataFrame) -> DataFrame:
+    """(doc_id, h, pos, n, set, meta, prefix) of every line: set is the hash of its words, meta packs n above a bitmap of them."""
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(w, 20).bitwiseAND((1 << 36) - 1), F.lit(_BITS)).cast("int"))
     bitmap = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(bit(w)))
-    rows = ordered.select("set", F.shiftleft(n.cast("long"), _BITS).bitwiseOR(bitmap).alias("meta"), F.slice("words", F.lit(1), (n - F.ceil(n * SIMILARITY - 1e-9) + 1).cast("int")).alias("prefix"))
-    return rows.select("set", "meta", F.posexplode("prefix").alias("place", "word"))
+    n = F.size("words")
+    prefix = F.slice("words", F.lit(1), F.greatest(n - F.ceil(n * SIMILARITY - 1e-9) + 1, F.lit(0)).cast("int"))
+    return sets.select(*ROW, n.alias("n"), F.xxhash64("words").alias("set"), F.shiftleft(n.cast("long"), _BITS).bitwiseOR(bitmap).alias("meta"), prefix.alias("prefix"))
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
     """(a, b) with a < b: sets that the filters leave."""
-    # equal rows of copies are merged where the shuffle has brought them together
-    merged = prefixes.repartition(F.col("word")).groupBy("word", "set", "meta").agg(F.min("place").alias("place"))
-    left, right = (merged.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "meta", "place"))) for s in "ab")
+    left, right = (prefixes.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "meta", "place"))) for s in "ab")
     n, m = (F.shiftright(f"meta_{s}", _BITS) for s in "ab")
     rest = F.least(n - F.col("place_a"), m - F.col("place_b"))
     differ = F.bit_count(F.col("meta_a").bitwiseXOR(F.col("meta_b")).bitwiseAND((1 << _BITS) - 1))
@@ -92,23 +97,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text)."""
     spark = docs.sparkSession
     store = Stored(spark, "lines")
-    classes = store.put(_classes(_lines(docs)))
+    lines = _lines(docs)
+    classes = _classes(lines)
+    index = store.put(_index(_sets(lines, classes))).where(F.col("n") >= LEAST_WORDS)
+    sets = store.put(index.groupBy("set").agg(F.min(F.struct(*ROW, "meta", "prefix")).alias("first"), F.count("*").alias("copies")).select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.meta", "first.prefix"))
     release(spark)
-    ordered = _ordered(_lines(docs), classes).withColumn("set", F.xxhash64("words"))
-    index = store.put(ordered.select(*ROW, "set"))
-    first = index.groupBy("set").agg(F.min(F.struct(*ROW)).alias("first"), F.count("*").alias("n"))
-    sets = store.put(first)
-    total = index.count()
-    hot = sets.where(F.col("n") > max(HOT_LEAST, int(total * HOT_SHARE))).select(F.col("set").alias("hot"), F.col("first").alias("hot_first"))
-    # at most 1 / HOT_SHARE rows of 40 bytes
-    scan = ordered.join(F.broadcast(hot), F.col("set") == F.col("hot"), "left").where(F.col("hot").isNull() | (F.struct(*ROW) == F.col("hot_first")))
-    pairs = store.put(_candidates(_prefixes(scan)))
+    prefixes = sets.select("set", "meta", F.posexplode_outer("prefix").alias("place", "word"))
+    pairs = store.put(_candidates(prefixes))
     release(spark)
     ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = sets.join(ends, "set").select("first.*", "set").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "set")).alias("wanted"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select(docs.doc_id, docs.h, "text", "wanted").dropDuplicates(["doc_id", "h"])
-    one = texts.select("text", F.explode("wanted").alias("w")).select(F.col("w.set").alias("set"), F.lit(0).alias("pos"), F.lit(0).alias("h"), F.lit(0).alias("doc_id"), F.get(F.split("text", "\n"), F.col("w.pos")).alias("text"))
-    words = store.put(_lines(one.select(F.col("set").alias("doc_id"), "h", "text")).select(F.col("doc_id").alias("set"), "words"))
+    wanted = sets.select("set", "first").join(ends, "set").select("first.*", "set").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "set")).alias("wanted"))
+    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select("text", "wanted")
+    some = texts.select(F.split("text", "\n").alias("lines"), F.explode_outer("wanted").alias("w")).select(F.col("w.set").alias("doc_id"), F.lit(0).alias("h"), F.get("lines", F.col("w.pos")).alias("text"))
+    words = store.put(_sets(_lines(some), classes).select(F.col("doc_id").alias("set"), "words").dropDuplicates(["set"]))
     release(spark)
     left, right = (words.select(F.col("set").alias(s), F.col("words").alias(f"words_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b")
@@ -116,8 +117,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     match = store.put(both.where(common >= _need(F.size("words_a"), F.size("words_b"))).select("a", "b"))
     side = match.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(match.select(F.col("b").alias("set"), F.col("a").alias("other")))
     earliest = side.join(sets.select(F.col("set").alias("other"), F.col("first").alias("other_first")), "other").groupBy("set").agg(F.min("other_first").alias("other_first"))
-    judged = sets.join(earliest, "set", "left").where("n > 1 or other_first is not null")
-    rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | (F.col("other_first") < F.col("first")))
+    judged = sets.select("set", "first", "copies").join(earliest, "set", "left").where("copies > 1 or other_first is not null")
+    rows = index.select(*ROW, "set").join(judged, "set").where((F.struct(*ROW) != F.col("first")) | (F.col("other_first") < F.col("first")))
     return store.put(rows.select(*ROW).distinct())
 
 
