@@ -93,14 +93,26 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
 
 
+def _similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(later) of the pairs (later, earlier) whose sets are similar enough."""
+    side = lambda name: words.select(F.col("set").alias(name), F.col("words").alias(f"words_{name}"))
+    both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
+    common = F.size(F.array_intersect("words_later", "words_earlier"))
+    return both.where(common >= _need(F.size("words_later"), F.size("words_earlier"))).select("later").distinct()
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text)."""
     spark = docs.sparkSession
     store = Stored(spark, "lines")
     lines = _lines(docs)
     classes = _classes(lines)
-    index = store.put(_index(_sets(lines, classes))).where(F.col("n") >= LEAST_WORDS)
-    sets = store.put(index.groupBy("set").agg(F.min(F.struct(*ROW, "meta", "prefix")).alias("first"), F.count("*").alias("copies")).select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.meta", "first.prefix"))
+    lined = store.put(_index(_sets(lines, classes)))
+    known = lined.where(F.col("n") >= LEAST_WORDS)
+    first = known.groupBy("set").agg(F.min(F.struct(*ROW, "meta", "prefix")).alias("first"), F.count("*").alias("copies"))
+    sets = store.put(first.select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.meta", "first.prefix"))
+    index = store.put(known.select(*ROW, "set"))
+    store.drop(0)
     release(spark)
     prefixes = sets.select("set", "meta", F.posexplode_outer("prefix").alias("place", "word"))
     pairs = store.put(_candidates(prefixes))
@@ -109,16 +121,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     wanted = sets.select("set", "first").join(ends, "set").select("first.*", "set").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "set")).alias("wanted"))
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select("text", "wanted")
     some = texts.select(F.split("text", "\n").alias("lines"), F.explode_outer("wanted").alias("w")).select(F.col("w.set").alias("doc_id"), F.lit(0).alias("h"), F.get("lines", F.col("w.pos")).alias("text"))
-    words = store.put(_sets(_lines(some), classes).select(F.col("doc_id").alias("set"), "words").dropDuplicates(["set"]))
+    words = store.put(_sets(_lines(some), classes).select(F.col("doc_id").alias("set"), "words"))
     release(spark)
-    left, right = (words.select(F.col("set").alias(s), F.col("words").alias(f"words_{s}")) for s in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    match = store.put(both.where(common >= _need(F.size("words_a"), F.size("words_b"))).select("a", "b"))
-    side = match.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(match.select(F.col("b").alias("set"), F.col("a").alias("other")))
-    earliest = side.join(sets.select(F.col("set").alias("other"), F.col("first").alias("other_first")), "other").groupBy("set").agg(F.min("other_first").alias("other_first"))
-    judged = sets.select("set", "first", "copies").join(earliest, "set", "left").where("copies > 1 or other_first is not null")
-    rows = index.select(*ROW, "set").join(judged, "set").where((F.struct(*ROW) != F.col("first")) | (F.col("other_first") < F.col("first")))
+    # each later line is held against its earliest candidate first, and only what is left against all of its candidates
+    place = sets.select("set", "first")
+    ends = pairs.join(place.select(F.col("set").alias("a"), F.col("first").alias("at_a")), "a").join(place.select(F.col("set").alias("b"), F.col("first").alias("at_b")), "b")
+    a_first = F.col("at_a") < F.col("at_b")
+    ordered = store.put(ends.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.least("at_a", "at_b").alias("at")))
+    lead = ordered.groupBy("later").agg(F.min(F.struct("at", "earlier")).alias("x")).select("later", "x.earlier")
+    found = store.put(_similar(lead, words))
+    rest = ordered.select("later", "earlier").join(found, "later", "left_anti")
+    gone = store.put(found.unionByName(_similar(rest, words)).distinct())
+    judged = sets.select("set", "first", "copies").join(gone.select(F.col("later").alias("set"), F.lit(True).alias("gone")), "set", "left").where("copies > 1 or gone")
+    rows = index.select(*ROW, "set").join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
     return store.put(rows.select(*ROW).distinct())
 
 
