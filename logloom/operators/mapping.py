@@ -82,7 +82,7 @@ def score_fields(profile: DataFrame, family: str | None = None, top: int = 3) ->
         return names.map(lambda n: [max(similarity(n.strip().lower(), x) for x in (p.split(".")[-1], *a.split())) for p, *_, a in FIELDS])
 
     sims = profile.withColumn("sims", lexical(F.col("field")))
-    rows = sims.select("*", F.posexplode("sims").alias("place", "sim")).join(F.broadcast(knowledge(spark)), "place")
+    rows = sims.select("*", F.posexplode_outer("sims").alias("place", "sim")).join(F.broadcast(knowledge(spark)), "place")
     raw, t, types = F.lower(F.trim("field")), F.col("inferred_type"), F.col("types")
     is_in = lambda *x: F.arrays_overlap(types, F.array(*map(F.lit, x)))
     wants_ip = is_in("ip", "ipv4", "ipv6")
