@@ -14,8 +14,8 @@ def tvd(baseline: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """One row: total variation distance of the key's distributions, from one conditional count per side."""
     both = baseline.select(F.col(key).alias("k"), F.lit(1).alias("b"), F.lit(0).alias("c")).unionByName(current.select(F.col(key).alias("k"), F.lit(0).alias("b"), F.lit(1).alias("c")))
     counts = both.groupBy("k").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
-    share = counts.agg(F.sum("b").alias("nb"), F.sum("c").alias("nc"))
-    out = counts.join(F.broadcast(share)).agg((F.sum(F.abs(F.try_divide("b", "nb") - F.try_divide("c", "nc"))) / 2).alias("tvd"))  # share is one row
+    total = lambda side: counts.agg(F.sum(side)).scalar()
+    out = counts.agg((F.sum(F.abs(F.try_divide(F.col("b"), total("b")) - F.try_divide(F.col("c"), total("c")))) / 2).alias("tvd"))
     return out.select(F.round(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "tvd")), F.lit(0.0)), 4).alias("tvd"))
 
 

@@ -53,10 +53,10 @@ def verdict(isolated: Column, dps_delta: Column, critical: Column, kept: Column,
 
 def p95_rank(samples: DataFrame, value: str) -> DataFrame:
     """The sample of rank floor(0.95 n) from 0, by a distributed sort's ranks: no list of all samples is built."""
-    n = samples.agg(F.count(value).alias("n"))
     counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
     upto = counts.withColumn("upto", F.sum("k").over(Window.orderBy("v")))
-    hit = upto.join(F.broadcast(n)).where(F.col("upto") > F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))  # n is one row
+    n = samples.agg(F.count(value)).scalar()
+    hit = upto.where(F.col("upto") > F.least(F.floor(n * 0.95), n - 1))
     return hit.agg(F.min("v").alias("p95"))
 
 

@@ -494,7 +494,7 @@ def drift_structural(spark, sf_dir):
     a, b = _halves(logs.events(spark, sf_dir))
     types = lambda d, port: profile.profile_fields(profile.long_form(d.select("event_id", parse.entries(("src", F.col("src")), ("dpt", port), ("act", F.col("act"))).alias("fields")), "event_id"), d.count())
     rate = drift.type_violations(types(a, F.col("dpt")), types(b, F.concat(F.lit("p"), F.col("dpt").cast("string"))))
-    both = drift.tvd(a, b, "event_type").join(F.broadcast(rate))  # one row each
+    both = drift.tvd(a, b, "event_type").withColumn("type_violation_rate", rate.scalar())
     zero = F.lit(0.0)
     return both.withColumn("state", drift.structural_state(F.col("type_violation_rate"), zero, zero, zero, F.col("tvd")))
 
