@@ -30,9 +30,13 @@ PROFILE_KV = r"""([a-zA-Z0-9_.\-/]+)\s*=\s*("[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:
 CEF_PAIR = r"(?s)([a-zA-Z0-9_.\-]+)\s*=\s*(.*?)(?=\s+[a-zA-Z0-9_.\-]+\s*=|$)"
 
 
+#: Characters with the Unicode property White_Space.
+WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def trim_space(c: Column) -> Column:
     """Without white space at both ends, beyond the blanks that trim() takes."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def empty() -> Column:
