@@ -11,7 +11,8 @@ then position) has a Jaccard similarity of ``SIMILARITY`` or more.
 3. The prefix of a set (its rarest words, one more than may be missing) goes out
    by word, with the set's size, the word's place and a bitmap of the words.
    Sets that share a prefix word are candidates if sizes (length filter), what
-   may still follow (positional filter) and the bitmaps allow the similarity.
+   may still follow (positional filter) and the bitmaps allow the similarity;
+   each set meets the earliest of each word first, and all others if need be.
 4. Candidates' lines are fetched once more and their Jaccard is verified.
 
 Defined results: lines of fewer than ``LEAST_WORDS`` words, also blank ones,
@@ -23,7 +24,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, needed, release
@@ -82,58 +83,78 @@ def _index(sets: DataFrame) -> DataFrame:
     return sets.select(*ROW, n.alias("n"), F.xxhash64("words").alias("set"), F.shiftleft(n.cast("long"), _BITS).bitwiseOR(bitmap).alias("meta"), prefix.alias("prefix"))
 
 
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: sets that the filters leave."""
-    left, right = (prefixes.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "meta", "place"))) for s in "ab")
-    n, m = (F.shiftright(f"meta_{s}", _BITS) for s in "ab")
-    rest = F.least(n - F.col("place_a"), m - F.col("place_b"))
-    differ = F.bit_count(F.col("meta_a").bitwiseXOR(F.col("meta_b")).bitwiseAND((1 << _BITS) - 1))
+def _may_match(n: Column, m: Column, place_n: Column, place_m: Column, bits_n: Column, bits_m: Column) -> Column:
+    """Length, positional and bitmap filters on two sets that share a prefix word."""
     need = _need(n, m)
-    met = left.join(right, "word").where(F.col("set_a") < F.col("set_b")).where((n >= m * SIMILARITY) & (m >= n * SIMILARITY) & (rest >= need) & (differ <= n + m - 2 * need))
-    return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+    differ = F.bit_count(bits_n.bitwiseXOR(bits_m).bitwiseAND((1 << _BITS) - 1))
+    return (n >= m * SIMILARITY) & (m >= n * SIMILARITY) & (F.least(n - place_n, m - place_m) >= need) & (differ <= n + m - 2 * need)
+
+
+def _pairs_with_head(prefixes: DataFrame) -> DataFrame:
+    """(later, earlier): of each word's sets, the earliest against every other; at most one row for each prefix row."""
+    w = Window.partitionBy("word").orderBy("id")
+    rows = prefixes.select("id", "meta", "place", *(F.first(c).over(w).alias(f"head_{c}") for c in ("id", "meta", "place")))
+    size = lambda c: F.shiftright(c, _BITS)
+    may = _may_match(size("head_meta"), size("meta"), F.col("head_place"), F.col("place"), F.col("head_meta"), F.col("meta"))
+    return rows.where((F.col("id") > F.col("head_id")) & may).select(F.col("id").alias("later"), F.col("head_id").alias("earlier")).distinct()
+
+
+def _pairs(open_rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(later, earlier): each open set against all earlier ones that share a prefix word."""
+    left, right = (d.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "meta", "place"))) for d, s in ((open_rows, "a"), (prefixes, "b")))
+    n, m = (F.shiftright(f"meta_{s}", _BITS) for s in "ab")
+    met = left.join(right, "word").where(F.col("id_b") < F.col("id_a")).where(_may_match(n, m, F.col("place_a"), F.col("place_b"), F.col("meta_a"), F.col("meta_b")))
+    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
+
+
+def _words(docs: DataFrame, sets: DataFrame, pairs: DataFrame, classes: list[int]) -> DataFrame:
+    """(id, words) of the sets in pairs, from their first lines."""
+    ends = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
+    wanted = sets.select("id", "first").join(ends, "id").select("first.*", "id").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "id")).alias("wanted"))
+    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select("text", "wanted")
+    some = texts.select(F.split("text", "\n").alias("lines"), F.explode_outer("wanted").alias("w")).select(F.col("w.id").alias("doc_id"), F.lit(0).alias("h"), F.get("lines", F.col("w.pos")).alias("text"))
+    return _sets(_lines(some), classes).select(F.col("doc_id").alias("id"), "words")
 
 
 def _similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(later) of the pairs (later, earlier) whose sets are similar enough."""
-    side = lambda name: words.select(F.col("set").alias(name), F.col("words").alias(f"words_{name}"))
+    """(later) of the pairs whose sets are similar enough."""
+    side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"words_{name}"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
     common = F.size(F.array_intersect("words_later", "words_earlier"))
     return both.where(common >= _need(F.size("words_later"), F.size("words_earlier"))).select("later").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text)."""
+    """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text).
+
+    A group of near-equal lines has a square of pairs, of which one for each
+    line suffices: first every set is held against the earliest set of each of
+    its prefix words, and only sets without a match there meet all earlier ones.
+    """
     spark = docs.sparkSession
     store = Stored(spark, "lines")
     lines = _lines(docs)
     classes = _classes(lines)
-    lined = store.put(_index(_sets(lines, classes)))
-    known = lined.where(F.col("n") >= LEAST_WORDS)
+    known = store.put(_index(_sets(lines, classes))).where(F.col("n") >= LEAST_WORDS)
     first = known.groupBy("set").agg(F.min(F.struct(*ROW, "meta", "prefix")).alias("first"), F.count("*").alias("copies"))
-    sets = store.put(first.select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.meta", "first.prefix"))
+    flat = store.put(first.select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.meta", "first.prefix"))
     index = store.put(known.select(*ROW, "set"))
     store.drop(0)
     release(spark)
-    prefixes = sets.select("set", "meta", F.posexplode_outer("prefix").alias("place", "word"))
-    pairs = store.put(_candidates(prefixes))
+    # numbered in the order of first lines; the numbers are written before anything uses them
+    sets = store.put(flat.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+    store.drop(1)
     release(spark)
-    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = sets.select("set", "first").join(ends, "set").select("first.*", "set").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "set")).alias("wanted"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select("text", "wanted")
-    some = texts.select(F.split("text", "\n").alias("lines"), F.explode_outer("wanted").alias("w")).select(F.col("w.set").alias("doc_id"), F.lit(0).alias("h"), F.get("lines", F.col("w.pos")).alias("text"))
-    words = store.put(_sets(_lines(some), classes).select(F.col("doc_id").alias("set"), "words"))
+    explode = lambda d: d.select("id", "meta", F.posexplode_outer("prefix").alias("place", "word"))
+    near = store.put(_pairs_with_head(explode(sets)))
+    release(spark)
+    found = store.put(_similar(near, _words(docs, sets, near, classes)))
+    release(spark)
+    rest = store.put(_pairs(explode(sets.join(found.select(F.col("later").alias("id")), "id", "left_anti")), explode(sets)))
     release(spark)
-    # each later line is held against its earliest candidate first, and only what is left against all of its candidates
-    place = sets.select("set", "first")
-    ends = pairs.join(place.select(F.col("set").alias("a"), F.col("first").alias("at_a")), "a").join(place.select(F.col("set").alias("b"), F.col("first").alias("at_b")), "b")
-    a_first = F.col("at_a") < F.col("at_b")
-    ordered = store.put(ends.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.least("at_a", "at_b").alias("at")))
-    lead = ordered.groupBy("later").agg(F.min(F.struct("at", "earlier")).alias("x")).select("later", "x.earlier")
-    found = store.put(_similar(lead, words))
-    rest = ordered.select("later", "earlier").join(found, "later", "left_anti")
-    gone = store.put(found.unionByName(_similar(rest, words)).distinct())
-    judged = sets.select("set", "first", "copies").join(gone.select(F.col("later").alias("set"), F.lit(True).alias("gone")), "set", "left").where("copies > 1 or gone")
-    rows = index.select(*ROW, "set").join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
+    gone = store.put(found.unionByName(_similar(rest, _words(docs, sets, rest, classes))))
+    judged = sets.select("id", "set", "first", "copies").join(gone.select(F.col("later").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 or gone")
+    rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
     return store.put(rows.select(*ROW).distinct())
 
 
