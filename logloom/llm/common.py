@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,6 +57,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished steps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works in the background
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -148,11 +148,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     explode = lambda d: d.select("id", "meta", F.posexplode_outer("prefix").alias("place", "word"))
     near = store.put(_pairs_with_head(explode(sets)))
     release(spark)
-    found = store.put(_similar(near, _words(docs, sets, near, classes)))
+    words = store.put(_words(docs, sets, near, classes))
+    release(spark)
+    found = store.put(_similar(near, words))
+    store.drop(store.n - 2)
     release(spark)
     rest = store.put(_pairs(explode(sets.join(found.select(F.col("later").alias("id")), "id", "left_anti")), explode(sets)))
     release(spark)
-    gone = store.put(found.unionByName(_similar(rest, _words(docs, sets, rest, classes))))
+    release(spark)
+    words = store.put(_words(docs, sets, rest, classes))
+    release(spark)
+    gone = store.put(found.unionByName(_similar(rest, words)))
+    store.drop(store.n - 2)
+    release(spark)
     judged = sets.select("id", "set", "first", "copies").join(gone.select(F.col("later").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 or gone")
     rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
     return store.put(rows.select(*ROW).distinct())
