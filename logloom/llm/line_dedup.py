@@ -1,20 +1,30 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
+"""Line deduplication by an exact set-similarity join.
 
 A line is the set of its words.  A line goes if an earlier line (by document id,
 then position) has a Jaccard similarity of ``SIMILARITY`` or more.
 
-1. Every line's words become 56-bit hashes under a rarity class: how many words
-   of the corpus share the hash's one of ``BUCKETS`` buckets (a table of fixed
-   size, counted over all words).  Sorted, they run from rare to frequent; any
-   such order is valid for prefix filtering.
+1. Every word becomes a 56-bit hash under a rarity class: how many words of the
+   corpus share the hash's one of ``BUCKETS`` buckets (a table of fixed size,
+   counted over all words).  Sorted, they run from rare to frequent; any such
+   order is valid for prefix filtering.
 2. Lines with equal sets are one: the earliest stands for all.
 3. The prefix of a set (its rarest words, one more than may be missing) goes out
-   by word, with the set's size, the word's place and a bitmap of the words.
-   Sets that share a prefix word are candidates if sizes (length filter), what
-   may still follow (positional filter) and the bitmaps allow the similarity;
-   each set meets the earliest of each word first, and all others if need be.
+   by word, with the set's size, the word's place and a parity signature: each
+   word flips one of 128 bits, so two sets differ in no more bits than words.
+   Words that occur once in the corpus meet nothing and stay at home.  Sets that
+   share a prefix word are candidates if sizes (length filter), what may still
+   follow (positional filter) and the signatures allow the similarity.  Each set
+   meets the earliest set of its ``HEAD_WORDS`` rarest words first; only sets
+   without a match there meet all earlier ones.
 4. Candidates' lines are fetched once more and their Jaccard is verified.
 
+Words are cut, hashed and sorted in Arrow blocks with numpy: as column
+expressions, which interpret a function for each word, this cost more than the
+limit.  Counting, grouping and joining are DataFrame operations.  The join and
+the fetching run in ``ROUNDS`` parts of the words and documents, one after the
+other, so that only a part is on disk at once.  A block holds ``BLOCK`` bytes of
+text or one document.
+
 Defined results: lines of fewer than ``LEAST_WORDS`` words, also blank ones,
 always stay; a null text has no lines and stays null; rows with equal id and
 text keep the same lines; rows of one id but different texts are told apart by
@@ -24,49 +34,139 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import Stored, needed, release
+from .common import Stored, as_bytes, blocks, needed, release
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+BLOCK = 4 << 20
+ROUNDS, HEAD_WORDS = 4, 3
 _HASH = (1 << 56) - 1
-_BITS = 47
+_ONCE = 4  # the class of a bucket with one word
 
 ROW = ("doc_id", "h", "pos")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, line) with single blanks for all white space within lines."""
-    # the outer form adds no filter that would split every text twice
-    lines = docs.select("doc_id", "h", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    other = [F.contains("line", F.lit(c)) for c in "\t\r\x0b\x0c"]
-    return lines.withColumn("line", F.when(other[0] | other[1] | other[2] | other[3], F.translate("line", "\t\r\x0b\x0c", "    ")).otherwise(F.col("line")))
+class _Words:
+    """The words of a text: codes into distinct words, their hashes, and the number of words of each line."""
 
+    def __init__(self, text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        solid = (raw != 32) & ((raw < 9) | (raw > 13))
+        edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = edges[::2], edges[1::2]
+        self.newlines = np.flatnonzero(raw == 10)
+        self.counts = np.diff(np.searchsorted(starts, self.newlines), prepend=0, append=len(starts))
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])]).dictionary_encode()
+        self.codes = words.indices.to_numpy()
+        self.hashes = np.array([xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
 
-def _classes(lines: DataFrame) -> list[int]:
-    """Of each bucket, the class of how many words fall in it."""
-    bucket = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int")
-    counts = lines.select(F.explode_outer(F.split("line", " ")).alias("w")).groupBy(bucket.alias("b")).count()
-    level = F.least(F.floor(F.log2(F.col("count") + 1) * 4), F.lit(126)).cast("int")
-    out = [0] * BUCKETS
-    for row in counts.select("b", level.alias("c")).collect():  # BUCKETS rows at most
-        out[row["b"]] = row["c"]
-    return out
+    def buckets(self) -> np.ndarray:
+        return (self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+    def sets(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's set from rare to frequent: sizes, and all words in order."""
+        values = (classes[self.buckets()].astype(np.int64) << 56) | (self.hashes & np.uint64(_HASH)).astype(np.int64)
+        order = np.argsort(values)
+        rank = np.empty(len(values), np.int64)
+        rank[order] = np.arange(len(values))
+        keys = np.repeat(np.arange(len(self.counts)) << 32, self.counts) | rank[self.codes]
+        keys.sort()
+        keys = keys[np.diff(keys, prepend=-1) != 0]
+        return np.bincount(keys >> 32, minlength=len(self.counts)), values[order][keys & 0xFFFFFFFF]
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Each value's bits spread over 64."""
+    x = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def _sets(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """Lines with their sets of words, sorted from rare to frequent."""
-    # a fixed number of small integers, folded to one literal array
-    known = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(F.get(known, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(h.bitwiseAND(_HASH))
 
-    words = F.sort_array(F.array_except(F.transform(F.split("line", " "), code), F.array(code(F.lit("")))))
-    return lines.select(*ROW, words.alias("words"))
+def _joined(batch: pa.RecordBatch) -> bytes:
+    return b"\n".join(as_bytes(batch.column("text")).to_pylist())
+
+
+def _counter() -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for block in blocks(batches, "text", BLOCK):
+            words = _Words(_joined(block))
+            total += np.bincount(words.buckets(), np.bincount(words.codes, minlength=len(words.hashes)), BUCKETS).astype(np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["b", "n"])
+
+    return count
+
+
+def _classes(docs: DataFrame) -> np.ndarray:
+    """Of each bucket, the class of how many words fall in it."""
+    counts = docs.select("text").mapInArrow(_counter(), "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    level = F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)).cast("int")
+    found = counts.select("b", level.alias("c")).toArrow()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS, np.int8)
+    out[found["b"].to_numpy()] = found["c"].to_numpy()
+    return out
+
+
+def _at_least(n: np.ndarray) -> np.ndarray:
+    return np.ceil(n * SIMILARITY - 1e-9).astype(np.int64)
+
+
+def _index(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(doc_id, h, pos, n, set, s0, s1, prefix) of every line of LEAST_WORDS: set is the hash of its words, s0 and s1 their signature."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK):
+            lengths = np.diff(np.concatenate([[0], np.cumsum(np.array([len(x) for x in as_bytes(block.column("text")).to_pylist()], np.int64) + 1)]))
+            words = _Words(_joined(block))
+            sizes, values = words.sets(classes)
+            first = np.searchsorted(words.newlines, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+            n_lines = np.diff(np.append(first, len(sizes)))
+            row = np.repeat(np.arange(len(first)), n_lines)
+            pos = np.arange(len(sizes)) - first[row]
+            use = np.flatnonzero(sizes >= LEAST_WORDS)
+            if not len(use):
+                continue
+            values, n = values[np.repeat(sizes >= LEAST_WORDS, sizes)], sizes[use]
+            at = np.cumsum(n) - n
+            mixed = _mixed(values)
+            bit = np.uint64(1) << ((mixed >> np.uint64(58)) & np.uint64(63))
+            high = (mixed >> np.uint64(57)) & np.uint64(1)
+            prefix = n - _at_least(n) + 1
+            place = np.arange(len(values)) - np.repeat(at, n)
+            rare = np.where(values >> 56 <= _ONCE, 0, values)[place < np.repeat(prefix, n)]
+            long = lambda x: pa.array(x.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block.column("doc_id").take(pa.array(row[use])), block.column("h").take(pa.array(row[use])), pa.array(pos[use], pa.int32()), pa.array(n, pa.int32()),
+                    long(np.add.reduceat(_mixed(_mixed(values).view(np.int64)), at)), long(np.bitwise_xor.reduceat(bit * high, at)), long(np.bitwise_xor.reduceat(bit * (np.uint64(1) - high), at)), _listed(rare, prefix),
+                ],
+                ["doc_id", "h", "pos", "n", "set", "s0", "s1", "prefix"],
+            )
+
+    return docs.where("text IS NOT NULL").select("doc_id", "h", "text").mapInArrow(index, "doc_id long, h long, pos int, n int, set long, s0 long, s1 long, prefix array<long>")
+
+
+def _prefixes(sets: DataFrame, most: int | None = None) -> DataFrame:
+    """(word, id, meta, s0, s1) of the prefix words, or the first of them; meta packs size above place."""
+    prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
+    rows = sets.select("id", "n", "s0", "s1", F.posexplode(prefix).alias("place", "word")).where("word != 0")
+    return rows.select("word", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place")).alias("meta"), "s0", "s1")
 
 
 def _need(n: Column, m: Column) -> Column:
@@ -74,54 +174,65 @@ def _need(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
 
 
-def _index(sets: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, n, set, meta, prefix) of every line: set is the hash of its words, meta packs n above a bitmap of them."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(w, 20).bitwiseAND((1 << 36) - 1), F.lit(_BITS)).cast("int"))
-    bitmap = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(bit(w)))
-    n = F.size("words")
-    prefix = F.slice("words", F.lit(1), F.greatest(n - F.ceil(n * SIMILARITY - 1e-9) + 1, F.lit(0)).cast("int"))
-    return sets.select(*ROW, n.alias("n"), F.xxhash64("words").alias("set"), F.shiftleft(n.cast("long"), _BITS).bitwiseOR(bitmap).alias("meta"), prefix.alias("prefix"))
+def _may_match() -> Column:
+    """Length, positional and signature filters on sets a and b that share a prefix word."""
+    n, m = (F.shiftright(f"meta_{s}", 32) for s in "ab")
+    left, right = (k - F.col(f"meta_{s}").bitwiseAND(0xFFFFFFFF) for k, s in ((n, "a"), (m, "b")))
+    need = _need(n, m)
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("s0", "s1")), F.lit(0))
+    return (n >= m * SIMILARITY) & (m >= n * SIMILARITY) & (F.least(left, right) >= need) & (differ <= n + m - 2 * need)
 
 
-def _may_match(n: Column, m: Column, place_n: Column, place_m: Column, bits_n: Column, bits_m: Column) -> Column:
-    """Length, positional and bitmap filters on two sets that share a prefix word."""
-    need = _need(n, m)
-    differ = F.bit_count(bits_n.bitwiseXOR(bits_m).bitwiseAND((1 << _BITS) - 1))
-    return (n >= m * SIMILARITY) & (m >= n * SIMILARITY) & (F.least(n - place_n, m - place_m) >= need) & (differ <= n + m - 2 * need)
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(later, earlier): sets of left and earlier ones of right that share a word and may be similar."""
+    sides = (d.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "meta", "s0", "s1"))) for d, s in ((left, "a"), (right, "b")))
+    met = reduce(lambda a, b: a.join(b, "word"), sides).where("id_b < id_a").where(_may_match())
+    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
-def _pairs_with_head(prefixes: DataFrame) -> DataFrame:
-    """(later, earlier): of each word's sets, the earliest against every other; at most one row for each prefix row."""
-    w = Window.partitionBy("word").orderBy("id")
-    rows = prefixes.select("id", "meta", "place", *(F.first(c).over(w).alias(f"head_{c}") for c in ("id", "meta", "place")))
-    size = lambda c: F.shiftright(c, _BITS)
-    may = _may_match(size("head_meta"), size("meta"), F.col("head_place"), F.col("place"), F.col("head_meta"), F.col("meta"))
-    return rows.where((F.col("id") > F.col("head_id")) & may).select(F.col("id").alias("later"), F.col("head_id").alias("earlier")).distinct()
+def _heads(rows: DataFrame) -> DataFrame:
+    """Of each word that several sets have, the earliest set."""
+    heads = rows.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("sharing"), *(F.min_by(c, "id").alias(c) for c in ("meta", "s0", "s1")))
+    return heads.where("sharing > 1").drop("sharing")
 
 
-def _pairs(open_rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(later, earlier): each open set against all earlier ones that share a prefix word."""
-    left, right = (d.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "meta", "place"))) for d, s in ((open_rows, "a"), (prefixes, "b")))
-    n, m = (F.shiftright(f"meta_{s}", _BITS) for s in "ab")
-    met = left.join(right, "word").where(F.col("id_b") < F.col("id_a")).where(_may_match(n, m, F.col("place_a"), F.col("place_b"), F.col("meta_a"), F.col("meta_b")))
-    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
+def _words(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(id, words) of the wanted (doc_id, h, wanted) lines."""
 
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK):
+            ids, lines = [], []
+            for text, want in zip(as_bytes(block.column("text")).to_pylist(), block.column("wanted").to_pylist()):
+                have = text.split(b"\n")
+                ids += [x["id"] for x in want]
+                lines += [have[x["pos"]] for x in want]
+            sizes, values = _Words(b"\n".join(lines)).sets(classes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _listed(values, sizes)], ["id", "words"])
 
-def _words(docs: DataFrame, sets: DataFrame, pairs: DataFrame, classes: list[int]) -> DataFrame:
-    """(id, words) of the sets in pairs, from their first lines."""
-    ends = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
-    wanted = sets.select("id", "first").join(ends, "id").select("first.*", "id").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "id")).alias("wanted"))
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select("text", "wanted")
-    some = texts.select(F.split("text", "\n").alias("lines"), F.explode_outer("wanted").alias("w")).select(F.col("w.id").alias("doc_id"), F.lit(0).alias("h"), F.get("lines", F.col("w.pos")).alias("text"))
-    return _sets(_lines(some), classes).select(F.col("doc_id").alias("id"), "words")
+    return texts.mapInArrow(fetch, "id long, words array<long>")
 
 
-def _similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def _similar(store: Stored, docs: DataFrame, sets: DataFrame, pairs: DataFrame, classes: np.ndarray) -> DataFrame:
     """(later) of the pairs whose sets are similar enough."""
+    ends = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
+    lines = sets.select("id", "first").join(ends, "id").select("first.*", "id").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "id")).alias("wanted"))
+    wanted = store.put(lines)
+    parts = []
+    for k in range(ROUNDS):
+        mine = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k
+        parts.append(store.put(_words(docs.where(mine), wanted.where(mine), classes)))
+        release(docs.sparkSession)
+    # rows of equal id and text give the same words
+    words = reduce(DataFrame.unionByName, parts).dropDuplicates(["id"])
     side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"words_{name}"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
     common = F.size(F.array_intersect("words_later", "words_earlier"))
-    return both.where(common >= _need(F.size("words_later"), F.size("words_earlier"))).select("later").distinct()
+    found = store.put(both.where(common >= _need(F.size("words_later"), F.size("words_earlier"))).select("later").distinct())
+    for k in range(ROUNDS + 1):
+        store.drop(store.n - 2 - k)
+    release(docs.sparkSession)
+    return found
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -129,15 +240,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     A group of near-equal lines has a square of pairs, of which one for each
     line suffices: first every set is held against the earliest set of each of
-    its prefix words, and only sets without a match there meet all earlier ones.
+    its rarest words, and only sets without a match there meet all earlier ones.
     """
     spark = docs.sparkSession
     store = Stored(spark, "lines")
-    lines = _lines(docs)
-    classes = _classes(lines)
-    known = store.put(_index(_sets(lines, classes))).where(F.col("n") >= LEAST_WORDS)
-    first = known.groupBy("set").agg(F.min(F.struct(*ROW, "meta", "prefix")).alias("first"), F.count("*").alias("copies"))
-    flat = store.put(first.select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.meta", "first.prefix"))
+    classes = _classes(docs)
+    known = store.put(_index(docs, classes))
+    first = known.groupBy("set").agg(F.min(F.struct(*ROW, "n", "s0", "s1", "prefix")).alias("first"), F.count("*").alias("copies"))
+    flat = store.put(first.select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.n", "first.s0", "first.s1", "first.prefix"))
     index = store.put(known.select(*ROW, "set"))
     store.drop(0)
     release(spark)
@@ -145,22 +255,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = store.put(flat.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
     store.drop(1)
     release(spark)
-    explode = lambda d: d.select("id", "meta", F.posexplode_outer("prefix").alias("place", "word"))
-    near = store.put(_pairs_with_head(explode(sets)))
-    release(spark)
-    words = store.put(_words(docs, sets, near, classes))
-    release(spark)
-    found = store.put(_similar(near, words))
-    store.drop(store.n - 2)
-    release(spark)
-    rest = store.put(_pairs(explode(sets.join(found.select(F.col("later").alias("id")), "id", "left_anti")), explode(sets)))
-    release(spark)
-    release(spark)
-    words = store.put(_words(docs, sets, rest, classes))
+    rarest = _prefixes(sets, HEAD_WORDS)
+    near = store.put(_met(rarest, _heads(rarest)))
     release(spark)
-    gone = store.put(found.unionByName(_similar(rest, words)))
-    store.drop(store.n - 2)
+    found = _similar(store, docs, sets, near, classes)
+    still = store.put(sets.join(found.select(F.col("later").alias("id")), "id", "left_anti").select("id", "n", "s0", "s1", "prefix"))
     release(spark)
+    parts = []
+    for k in range(ROUNDS):
+        mine = F.pmod(F.col("word"), F.lit(ROUNDS)) == k
+        parts.append(store.put(_met(_prefixes(still).where(mine), _prefixes(sets).where(mine))))
+        release(spark)
+    store.drop(store.n - ROUNDS - 1)
+    rest = reduce(DataFrame.unionByName, parts).distinct()
+    gone = found.unionByName(_similar(store, docs, sets, rest, classes))
     judged = sets.select("id", "set", "first", "copies").join(gone.select(F.col("later").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 or gone")
     rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
     return store.put(rows.select(*ROW).distinct())
