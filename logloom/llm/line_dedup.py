@@ -46,8 +46,9 @@ from xxhash import xxh64_intdigest
 from .common import Stored, as_bytes, blocks, needed, release
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 BLOCK = 4 << 20
+LONG_WORD = 256
 ROUNDS, HEAD_WORDS = 4, 3
 _HASH = (1 << 56) - 1
 _ONCE = 4  # the class of a bucket with one word
@@ -55,20 +56,45 @@ _ONCE = 4  # the class of a bucket with one word
 ROW = ("doc_id", "h", "pos")
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Each value's bits spread over 64, one to one."""
+    x = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashes(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time over all words, longer ones than LONG_WORD by themselves."""
+    padded = np.frombuffer(text + bytes(8), np.uint8)
+    eight = np.ndarray(len(text) + 1, np.uint64, padded, strides=(1,))  # at every byte
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = _mixed((eight[starts] & masks[np.minimum(lengths, 8)]) ^ _mixed(lengths))
+    some = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+    at = 8
+    while len(some):
+        out[some] = _mixed(out[some] ^ (eight[starts[some] + at] & masks[np.minimum(lengths[some] - at, 8)]))
+        at += 8
+        some = some[lengths[some] > at]
+    for k in np.flatnonzero(lengths > LONG_WORD):
+        out[k] = xxh64_intdigest(text[starts[k] : starts[k] + lengths[k]])
+    return out
+
+
 class _Words:
     """The words of a text: codes into distinct words, their hashes, and the number of words of each line."""
 
     def __init__(self, text: bytes):
         raw = np.frombuffer(text, np.uint8)
-        solid = (raw != 32) & ((raw < 9) | (raw > 13))
-        edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        solid = (raw != 32) & (raw - np.uint8(9) > 4)
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        edges = np.concatenate([[0] if len(raw) and solid[0] else [], edges, [len(raw)] if len(raw) and solid[-1] else []]).astype(np.int64)
         starts, ends = edges[::2], edges[1::2]
         self.newlines = np.flatnonzero(raw == 10)
         self.counts = np.diff(np.searchsorted(starts, self.newlines), prepend=0, append=len(starts))
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])]).dictionary_encode()
+        words = pa.array(_hashes(text, starts, ends - starts)).dictionary_encode()
         self.codes = words.indices.to_numpy()
-        self.hashes = np.array([xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+        self.hashes = words.dictionary.to_numpy()
 
     def buckets(self) -> np.ndarray:
         return (self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -85,14 +111,6 @@ class _Words:
         return np.bincount(keys >> 32, minlength=len(self.counts)), values[order][keys & 0xFFFFFFFF]
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """Each value's bits spread over 64."""
-    x = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
