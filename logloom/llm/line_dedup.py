@@ -25,8 +25,8 @@ the fetching run in ``ROUNDS`` parts of the words and documents, one after the
 other, so that only a part is on disk at once.  A block holds ``BLOCK`` bytes of
 text or one document.
 
-Defined results: lines of fewer than ``LEAST_WORDS`` words, also blank ones,
-always stay; a null text has no lines and stays null; rows with equal id and
+Defined results: lines without a word always stay; sets of up to ``ALONE`` words
+are near no other set, so they only meet equal ones in step 2; a null text has no lines and stays null; rows with equal id and
 text keep the same lines; rows of one id but different texts are told apart by
 the text's hash; further columns are passed through; an empty table gives an
 empty result.
@@ -45,7 +45,8 @@ from xxhash import xxh64_intdigest
 
 from .common import Stored, as_bytes, blocks, needed, release
 
-SIMILARITY, LEAST_WORDS = 0.8, 5
+SIMILARITY, LEAST_WORDS = 0.8, 1
+ALONE = 3  # one word more or less is already below SIMILARITY
 BUCKETS = 1 << 22
 BLOCK = 4 << 20
 LONG_WORD = 256
@@ -146,7 +147,7 @@ def _at_least(n: np.ndarray) -> np.ndarray:
 
 
 def _index(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(doc_id, h, pos, n, set, s0, s1, prefix) of every line of LEAST_WORDS: set is the hash of its words, s0 and s1 their signature."""
+    """(doc_id, h, pos, n, set, s0, s1, prefix) of every line with a word: set is the hash of its words, s0 and s1 their signature."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK):
@@ -165,7 +166,7 @@ def _index(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             mixed = _mixed(values)
             bit = np.uint64(1) << ((mixed >> np.uint64(58)) & np.uint64(63))
             high = (mixed >> np.uint64(57)) & np.uint64(1)
-            prefix = n - _at_least(n) + 1
+            prefix = np.where(n > ALONE, n - _at_least(n) + 1, 0)
             place = np.arange(len(values)) - np.repeat(at, n)
             rare = np.where(values >> 56 <= _ONCE, 0, values)[place < np.repeat(prefix, n)]
             long = lambda x: pa.array(x.view(np.int64))

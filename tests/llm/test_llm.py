@@ -183,6 +183,20 @@ def test_line_dedup(docs, texts, nothing):
     assert line_dedup.removals(nothing).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of few words go like any other; only those without a word stay."""
+    lines = ["yes", "a b", "a b c", "b  a", "yes", " \t", "", "", "a b c d", "d c b a", "a b c d e", "x y z v w", "w v y x", "osó " * 9, "osó", "p q r", "p q r s", "yes no"]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 6 : i * 6 + 6]), "k", 1) for i in range(3)], DOC)
+    earlier, want = [], []
+    for i, line in enumerate(lines):
+        s = set(WORD.findall(line))
+        if s and any(5 * len(s & x) >= 4 * len(s | x) for x in earlier):
+            want.append(i)
+        earlier += [s] if s else []
+    got = [6 * r["doc_id"] + int(p) for r in line_dedup.removals(docs).orderBy("doc_id").collect() for p in r["removed_lines"].split(",") if p]
+    assert got == want == [3, 4, 9, 10, 12, 14]
+
+
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_embeddings(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dedup, "TILE_ROWS", tile)
