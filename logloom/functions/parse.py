@@ -11,8 +11,11 @@ header rules and key names.
 
 from __future__ import annotations
 
+import json
 import re
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -248,8 +251,93 @@ def _members(text: Column) -> Column:
     return F.map_entries(F.from_json(text, "map<string,string>"))
 
 
+class _Number(str):
+    """A JSON number as it is written."""
+
+    def inner(self) -> str:
+        """As from_json writes it below the top: fractions as Java's doubles."""
+        if not set(self) & set(".eE"):
+            return str(self)
+        x = float(self)
+        if abs(x) == float("inf"):
+            return "Infinity" if x > 0 else "-Infinity"
+        if x == 0 or 1e-3 <= abs(x) < 1e7:
+            return repr(x)
+        sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
+        text = "".join(map(str, digits))
+        return f"{'-' * sign}{text[0]}.{text[1:] or '0'}E{exponent + len(text) - 1}"
+
+
+class _Object(list):
+    """Members of a JSON object in order, repeated keys kept."""
+
+
+def _quoted(text: str) -> str:
+    """A JSON string as from_json writes it: upper-case escapes, also of what is beyond 16 bits."""
+    pair = lambda m: "".join(f"\\u{m[0].encode('utf-16-be')[k : k + 2].hex().upper()}" for k in (0, 2))
+    return re.sub(r"[\U00010000-\U0010ffff]", pair, re.sub(r"\\(\\|u[0-9a-f]{4})", lambda m: "\\" + m[1][0] + m[1][1:].upper(), json.dumps(text, ensure_ascii=False)))
+
+
+def _json_text(v, inner: bool) -> str | None:
+    """A value as text, without blanks between tokens; null if it is null."""
+    if isinstance(v, _Number):
+        return v.inner() if inner else str(v)
+    if isinstance(v, str) or v is None:
+        return v
+    out, todo = [], [(v, True)]
+    while todo:
+        x, is_value = todo.pop()
+        if not is_value:
+            out.append(x)
+        elif isinstance(x, _Number):
+            text = x.inner()
+            out.append(_quoted(text) if text.endswith("y") else text)
+        elif isinstance(x, (_Object, list)):
+            ends = "{}" if isinstance(x, _Object) else "[]"
+            todo.append((ends[1], False))
+            for k in range(len(x) - 1, -1, -1):
+                todo.append((x[k][1] if isinstance(x, _Object) else x[k], True))
+                if isinstance(x, _Object):
+                    todo.append((_quoted(x[k][0]) + ":", False))
+                if k:
+                    todo.append((",", False))
+            out.append(ends[0])
+        else:
+            out.append(_quoted(x) if isinstance(x, str) else json.dumps(x))
+    return "".join(out)
+
+
+def _flat(text: str | None, parents: bool) -> list[dict] | None:
+    try:
+        top = json.loads(text, object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number, parse_constant=_Number) if text is not None else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(top, _Object):
+        return None
+    out, todo = [], [(k, v, False) for k, v in reversed(top)]
+    while todo:
+        k, v, below = todo.pop()
+        inner = isinstance(v, _Object) and len(v) > 0
+        if parents or not inner:
+            out.append({"k": k, "v": _json_text(v, below)})
+        if inner:
+            todo += [(f"{k}.{name}", x, True) for name, x in reversed(v)]
+    return out
+
+
+def _json_deep(text: Column, parents: bool) -> Column:
+    @F.pandas_udf(ENTRIES)
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: _flat(x, parents))
+
+    return of(text)
+
+
 def json_flat(raw: Column, parents: bool, levels: int = 4) -> Column:
-    """Dotted entries of a JSON object; parents keeps each object under its own key too (strict); null if no object."""
+    """Dotted entries of a JSON object, to any depth; parents keeps each object under its own key too (strict); null if no object.
+
+    Columns open the given number of levels; only texts with more braces reach Python.
+    """
     t = trim_space(raw)
     is_object = lambda v: v.startswith("{") & v.endswith("}") & (F.size(F.json_object_keys(v)) > 0)
 
@@ -266,7 +354,9 @@ def json_flat(raw: Column, parents: bool, levels: int = 4) -> Column:
         return F.flatten(F.transform(found, one))
 
     top = F.transform(_members(t), lambda m: F.struct(m["key"].alias("k"), m["value"].alias("v"))).cast(ENTRIES)
-    return F.when(t.startswith("{") & t.endswith("}") & F.json_object_keys(t).isNotNull(), opened(top, levels))
+    ok = t.startswith("{") & t.endswith("}") & F.json_object_keys(t).isNotNull()
+    deep = F.length(t) - F.length(F.replace(t, F.lit("{"), F.lit(""))) > levels + 1
+    return F.when(ok, F.coalesce(_json_deep(F.when(ok & deep, t), parents), opened(top, levels)))
 
 
 FORMATS = ("CEF", "LEEF", "SYSLOG_RFC5424", "SYSLOG_RFC3164", "JSON", "KEY_VALUE", "TEXT")

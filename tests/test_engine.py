@@ -66,6 +66,25 @@ def test_json_levels(spark):
     assert one(spark, "[1]", lambda c: parse.json_flat(c, parents=True)) is None
 
 
+@pytest.mark.parametrize("depth", [10, 32, 100])
+def test_json_flat_opens_every_level(spark, depth):
+    leaf = r'{"n":1.50,"t":[1, {"u":"\u00e9\n"}],"z":null,"o":{},"b":true}'
+    raw = '{"a":' * depth + leaf + "}" * depth
+    path = ".".join("a" * depth)
+    want = {f"{path}.n": "1.5", f"{path}.t": '[1,{"u":"é\\n"}]', f"{path}.z": None, f"{path}.o": "{}", f"{path}.b": "true"}
+    assert pairs(one(spark, raw, lambda c: parse.json_flat(c, parents=False))) == want
+    strict = pairs(one(spark, raw, lambda c: parse.json_flat(c, parents=True)))
+    assert len(strict) == depth + 5 and want.items() <= strict.items() and set(strict) >= {".".join("a" * k) for k in range(1, depth + 1)}
+
+
+def test_json_flat_in_python_is_as_in_columns(spark):
+    leaves = ["1.50", "1e5", "-0.0", "1.5e-7", "12345678.25", "0.00012", "1e400", "-3", "123456789012345678901234567890", r'"\u00e9\n\"q"', '{"x" : [1, 2.50, {"y":1E+2}], "e":{}}', "null", "[]", '{"x":1,"x":2}', r'["é\U0001f642/\u000b\\u00ab"]'.replace(r"\U0001f642", "\U0001f642")]
+    raws = spark.createDataFrame([(head + x + end,) for x in leaves for head, end in (('{"k": ', "}"), ('{"a":{"b":{"k": ', "}}}"))], "raw string")
+    for parents in (False, True):
+        for r in raws.select("raw", *(parse.json_flat(F.col("raw"), parents, levels=n).alias(f"n{n}") for n in (0, 6))).collect():
+            assert r["n0"] == r["n6"] is not None, r["raw"]
+
+
 @pytest.mark.parametrize(
     ("raw", "limits", "code"),
     [
