@@ -78,7 +78,10 @@ def to_timestamp(c: Column, year: int) -> Column:
     # the weekday of RFC 1123 says nothing more, and Spark's parser takes none
     short = F.regexp_replace(F.regexp_replace(t, r"^[A-Z][a-z]{2}, ", ""), r" +", " ")
     layouts = [F.try_to_timestamp(t, F.lit(p)) for p in ZONED] + [F.try_to_timestamp(short, F.lit(p)) for p in LAYOUTS]
-    yearless = F.when(t.rlike(YEARLESS), F.try_to_timestamp(F.concat(short, F.lit(f" {year}")), F.lit("MMM d HH:mm:ss yyyy")))
+    dated = lambda day: F.try_to_timestamp(F.concat(day, F.lit(f" {year}")), F.lit("MMM d HH:mm:ss yyyy"))
+    # as in the reference, 29 February is 1 March in a year without it
+    leap = dated(F.regexp_replace(short, "^Feb 29 ", "Feb 28 ")) + F.expr("INTERVAL 1 DAY")
+    yearless = F.when(t.rlike(YEARLESS), F.when(short.startswith("Feb 29 "), leap).otherwise(dated(short)))
     return F.coalesce(epoch, *layouts, yearless)
 
 

@@ -53,3 +53,14 @@ def test_without_optional_parts(tmp_path):
     subprocess.run(["rm", "-rf", f"{tmp_path}/logloom/llm"], check=True)
     code = "import __spark_entry__ as e; assert not any(q.startswith('op') for q in e.queries()); assert len(e.oracle_sql()) > 50"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_coerce_timestamp_has_every_order(spark, duck):
+    """29 February, too; without its year it is 1 March of 2023."""
+    got = {r["o_orderkey"]: r for r in QUERIES["coerce_timestamp"](spark, DIR).collect()}
+    days = duck.execute("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), strftime(o_orderdate, '%m-%d') FROM orders").fetchall()
+    assert len(got) == len(days) and any(day == "02-29" for _, _, day in days)
+    for key, text, day in days:
+        r = got[key]
+        assert {r["iso"], r["blank"], r["epoch"], r["millis"]} == {text}
+        assert r["yearless"] == f"2023-{'03-01' if day == '02-29' else day}{text[10:]}"
