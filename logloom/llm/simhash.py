@@ -2,9 +2,10 @@
 
 A document's fingerprint has bit b set if over half of its shingles' XXH64
 values have it.  Equal fingerprints are one row before anything is compared.
-Two fingerprints within the radius (3 of 64 bits) agree on at least two of five
-blocks of bits, so rows are compared exactly, with exclusive-or and bit counts,
-wherever they share two blocks (ten tables): no link is lost.  Within a key,
+Two fingerprints within the radius r (3 of 64 bits) agree on at least two of
+r + 2 blocks of bits, so rows are compared exactly, with exclusive-or and bit
+counts, wherever they share two blocks (ten tables for r = 3): no link is lost.
+A wide radius has short blocks, so its work nears all pairs.  Within a key,
 rows lie in tiles by their population count, and tile pairs whose counts differ
 by more than the radius are skipped.  Links are spanning forests of the tiles;
 components are found in Spark.
@@ -29,8 +30,8 @@ from .common import Stored, as_bytes, blocks, needed
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
-#: Bits of the five blocks; two of them make a key.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Blocks of bits at least; two of them make a key.
+LEAST_BLOCKS = 5
 #: Rows of a tile, and bits of population count in a band of tiles.
 TILE_ROWS, BAND = 4096, 4
 
@@ -76,10 +77,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ids.mapInArrow(of, "doc_id long, fp long")
 
 
-def _keys() -> F.Column:
-    """The ten keys of a fingerprint: the table's number above the bits of its two blocks."""
-    part = [F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1) for at, bits in BLOCKS]
-    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of so many blocks that fingerprints within the radius agree on two."""
+    n = max(LEAST_BLOCKS, radius + 2)
+    sizes = [64 // n + (k < 64 % n) for k in range(n)]
+    return [(sum(sizes[:k]), bits) for k, bits in enumerate(sizes)]
+
+
+def _keys(radius: int) -> F.Column:
+    """The keys of a fingerprint (ten for five blocks): the table's number above the bits of its two blocks."""
+    part = [F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1) for at, bits in _blocks(radius)]
+    pairs = [(i, j) for i in range(len(part)) for j in range(i + 1, len(part))]
     return F.array(*[F.lit(k << 26).cast("long").bitwiseOR(F.shiftleft(part[i], 13)).bitwiseOR(part[j]) for k, (i, j) in enumerate(pairs)])
 
 
@@ -104,9 +112,11 @@ def _compare(fp: np.ndarray, tile: np.ndarray, same: bool, radius: int) -> tiles
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): a spanning forest of the links between rows (id, fp) with distinct fp."""
-    keyed = prints.select("id", "fp", F.explode(_keys()).alias("key"))
+    if not 0 <= radius <= 62:
+        raise ValueError("radius must be from 0 to 62")
+    keyed = prints.select("id", "fp", F.explode(_keys(radius)).alias("key"))
     band = F.floor(F.bit_count("fp") / BAND)
-    dealt = tiles.spread(keyed, "key", F.xxhash64("fp"), TILE_ROWS, band, 1)
+    dealt = tiles.spread(keyed, "key", F.xxhash64("fp"), TILE_ROWS, band, max(1, -(-radius // BAND)))
     dealt = dealt.repartition(F.col("key"), F.col("tile_a"), F.col("tile_b")).sortWithinPartitions("key", "tile_a", "tile_b")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,6 +140,19 @@ def test_simhash_links_are_complete(spark):
     assert [got.get(i, i) for i in range(len(fp))] == want.tolist()
 
 
+@pytest.mark.parametrize(("radius", "tile"), [(9, 4096), (9, 2), (0, 2)])
+def test_simhash_links_are_complete_for_any_radius(spark, monkeypatch, radius, tile):
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.int64).astype(np.uint64)
+    # one changed bit in each of nine places that are spread over the blocks, or set bits only (so counts differ by nine)
+    spread = np.uint64(sum(1 << b for b in range(0, 63, 7)))
+    fp = np.unique(np.concatenate([base, base ^ spread, base & ~spread, base | spread]))
+    df = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(fp.view(np.int64))], "id long, fp long")
+    got = {r["node"]: r["component"] for r in connected_components(simhash.links(df, radius), "a", "b").collect()}
+    assert [got.get(i, i) for i in range(len(fp))] == _components(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius).tolist()
+
+
 @pytest.mark.parametrize("batch", [20_000, 1])
 def test_suffix_dedup(docs, texts, nothing, monkeypatch, batch):
     monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", batch)
