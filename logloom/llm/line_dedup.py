@@ -83,9 +83,12 @@ def _hashes(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class _Words:
-    """The words of a text: codes into distinct words, their hashes, and the number of words of each line."""
+    """The words of a text: codes into distinct words, their hashes, and the number of words of each line.
 
-    def __init__(self, text: bytes):
+    With a width above one, runs of so many words of a line stand for words; a shorter line is one run.
+    """
+
+    def __init__(self, text: bytes, width: int = 1):
         raw = np.frombuffer(text, np.uint8)
         solid = (raw != 32) & (raw - np.uint8(9) > 4)
         edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
@@ -93,10 +96,24 @@ class _Words:
         starts, ends = edges[::2], edges[1::2]
         self.newlines = np.flatnonzero(raw == 10)
         self.counts = np.diff(np.searchsorted(starts, self.newlines), prepend=0, append=len(starts))
-        words = pa.array(_hashes(text, starts, ends - starts)).dictionary_encode()
+        hashes = _hashes(text, starts, ends - starts)
+        if width > 1:
+            hashes = self._runs(hashes, width)
+        words = pa.array(hashes).dictionary_encode()
         self.codes = words.indices.to_numpy()
         self.hashes = words.dictionary.to_numpy()
 
+    def _runs(self, hashes: np.ndarray, width: int) -> np.ndarray:
+        runs = np.where(self.counts > 0, np.maximum(self.counts - width + 1, 1), 0)
+        at = np.arange(runs.sum()) + np.repeat(np.cumsum(self.counts) - self.counts - (np.cumsum(runs) - runs), runs)
+        left = np.repeat(np.minimum(self.counts, width), runs)
+        out = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            some = left > k
+            out[some] = _mixed(out[some] ^ hashes[at[some] + k])
+        self.counts = runs
+        return out
+
     def buckets(self) -> np.ndarray:
         return (self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -120,11 +137,11 @@ def _joined(batch: pa.RecordBatch) -> bytes:
     return b"\n".join(as_bytes(batch.column("text")).to_pylist())
 
 
-def _counter() -> Callable:
+def _counter(width: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for block in blocks(batches, "text", BLOCK):
-            words = _Words(_joined(block))
+            words = _Words(_joined(block), width)
             total += np.bincount(words.buckets(), np.bincount(words.codes, minlength=len(words.hashes)), BUCKETS).astype(np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["b", "n"])
@@ -132,9 +149,9 @@ def _counter() -> Callable:
     return count
 
 
-def _classes(docs: DataFrame) -> np.ndarray:
+def _classes(docs: DataFrame, width: int) -> np.ndarray:
     """Of each bucket, the class of how many words fall in it."""
-    counts = docs.select("text").mapInArrow(_counter(), "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_counter(width), "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)).cast("int")
     found = counts.select("b", level.alias("c")).toArrow()  # BUCKETS rows at most
     out = np.zeros(BUCKETS, np.int8)
@@ -146,13 +163,13 @@ def _at_least(n: np.ndarray) -> np.ndarray:
     return np.ceil(n * SIMILARITY - 1e-9).astype(np.int64)
 
 
-def _index(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+def _index(docs: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
     """(doc_id, h, pos, n, set, s0, s1, prefix) of every line with a word: set is the hash of its words, s0 and s1 their signature."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK):
             lengths = np.diff(np.concatenate([[0], np.cumsum(np.array([len(x) for x in as_bytes(block.column("text")).to_pylist()], np.int64) + 1)]))
-            words = _Words(_joined(block))
+            words = _Words(_joined(block), width)
             sizes, values = words.sets(classes)
             first = np.searchsorted(words.newlines, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
             n_lines = np.diff(np.append(first, len(sizes)))
@@ -215,7 +232,7 @@ def _heads(rows: DataFrame) -> DataFrame:
     return heads.where("sharing > 1").drop("sharing")
 
 
-def _words(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
+def _words(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
     """(id, words) of the wanted (doc_id, h, wanted) lines."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +242,14 @@ def _words(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame
                 have = text.split(b"\n")
                 ids += [x["id"] for x in want]
                 lines += [have[x["pos"]] for x in want]
-            sizes, values = _Words(b"\n".join(lines)).sets(classes)
+            sizes, values = _Words(b"\n".join(lines), width).sets(classes)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _listed(values, sizes)], ["id", "words"])
 
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select("text", "wanted")
     return texts.mapInArrow(fetch, "id long, words array<long>")
 
 
-def _similar(store: Stored, docs: DataFrame, sets: DataFrame, pairs: DataFrame, classes: np.ndarray) -> DataFrame:
+def _similar(store: Stored, docs: DataFrame, sets: DataFrame, pairs: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
     """(later) of the pairs whose sets are similar enough."""
     ends = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
     lines = sets.select("id", "first").join(ends, "id").select("first.*", "id").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "id")).alias("wanted"))
@@ -240,7 +257,7 @@ def _similar(store: Stored, docs: DataFrame, sets: DataFrame, pairs: DataFrame,
     parts = []
     for k in range(ROUNDS):
         mine = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k
-        parts.append(store.put(_words(docs.where(mine), wanted.where(mine), classes)))
+        parts.append(store.put(_words(docs.where(mine), wanted.where(mine), classes, width)))
         release(docs.sparkSession)
     # rows of equal id and text give the same words
     words = reduce(DataFrame.unionByName, parts).dropDuplicates(["id"])
@@ -254,17 +271,17 @@ def _similar(store: Stored, docs: DataFrame, sets: DataFrame, pairs: DataFrame,
     return found
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, width: int = 1) -> DataFrame:
     """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text).
 
-    A group of near-equal lines has a square of pairs, of which one for each
+    With a width, a line is the set of its runs of so many words.  A group of near-equal lines has a square of pairs, of which one for each
     line suffices: first every set is held against the earliest set of each of
     its rarest words, and only sets without a match there meet all earlier ones.
     """
     spark = docs.sparkSession
     store = Stored(spark, "lines")
-    classes = _classes(docs)
-    known = store.put(_index(docs, classes))
+    classes = _classes(docs, width)
+    known = store.put(_index(docs, classes, width))
     first = known.groupBy("set").agg(F.min(F.struct(*ROW, "n", "s0", "s1", "prefix")).alias("first"), F.count("*").alias("copies"))
     flat = store.put(first.select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.n", "first.s0", "first.s1", "first.prefix"))
     index = store.put(known.select(*ROW, "set"))
@@ -277,7 +294,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rarest = _prefixes(sets, HEAD_WORDS)
     near = store.put(_met(rarest, _heads(rarest)))
     release(spark)
-    found = _similar(store, docs, sets, near, classes)
+    found = _similar(store, docs, sets, near, classes, width)
     still = store.put(sets.join(found.select(F.col("later").alias("id")), "id", "left_anti").select("id", "n", "s0", "s1", "prefix"))
     release(spark)
     parts = []
@@ -287,7 +304,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         release(spark)
     store.drop(store.n - ROUNDS - 1)
     rest = reduce(DataFrame.unionByName, parts).distinct()
-    gone = found.unionByName(_similar(store, docs, sets, rest, classes))
+    gone = found.unionByName(_similar(store, docs, sets, rest, classes, width))
     judged = sets.select("id", "set", "first", "copies").join(gone.select(F.col("later").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 or gone")
     rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
     return store.put(rows.select(*ROW).distinct())

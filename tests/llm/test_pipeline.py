@@ -108,3 +108,32 @@ def test_run(spark, tables):
     pieces = corpus_pipeline.run(spark, tables)
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pieces.count() > 0
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    """Of documents with a Jaccard similarity of 0.8 or more of five-word shingles, only the first stays."""
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(2000)]
+    rows = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(3, 120))]
+        rows.append(" ".join(base))
+        for changes in (0, 1, 2, 3, 5):
+            near = list(base)
+            for _ in range(changes):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append(rng.choice([" ", "\n", "  "]).join(near).upper() if changes == 1 else " \n".join(near))
+    rng.shuffle(rows)
+    rows += ["", None, " \t\n", "one", "ONE", "one two"]
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in rows]
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    want = [i for i, s in enumerate(sets) if not any(near(s, x) for x in sets[:i])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == want
+    assert len(want) < len(rows) - 40
