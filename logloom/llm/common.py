@@ -35,15 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, options: dict[str, str] | None = None):
         self.spark = spark
+        self.options = options or {}
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        df.write.options(**self.options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, n: int) -> None:

@@ -1,311 +1,147 @@
-"""Line deduplication by an exact set-similarity join.
+"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words.  A line goes if an earlier line (by document id,
-then position) has a Jaccard similarity of ``SIMILARITY`` or more.
+then position) has a Jaccard similarity of 0.8 or more.
 
-1. Every word becomes a 56-bit hash under a rarity class: how many words of the
-   corpus share the hash's one of ``BUCKETS`` buckets (a table of fixed size,
-   counted over all words).  Sorted, they run from rare to frequent; any such
-   order is valid for prefix filtering.
+1. Rarity: every word falls in one of ``BUCKETS`` buckets by its hash, and a
+   bucket's class is the logarithm of how many words of the corpus fall in it.
+   The classes are a table of ``BUCKETS`` bytes, whatever the corpus; it travels
+   as a literal.  A word's key is its class above 56 bits of its hash, so sorted
+   keys run from rare to frequent.
 2. Lines with equal sets are one: the earliest stands for all.
 3. The prefix of a set (its rarest words, one more than may be missing) goes out
-   by word, with the set's size, the word's place and a parity signature: each
-   word flips one of 128 bits, so two sets differ in no more bits than words.
-   Words that occur once in the corpus meet nothing and stay at home.  Sets that
-   share a prefix word are candidates if sizes (length filter), what may still
-   follow (positional filter) and the signatures allow the similarity.  Each set
-   meets the earliest set of its ``HEAD_WORDS`` rarest words first; only sets
-   without a match there meet all earlier ones.
-4. Candidates' lines are fetched once more and their Jaccard is verified.
-
-Words are cut, hashed and sorted in Arrow blocks with numpy: as column
-expressions, which interpret a function for each word, this cost more than the
-limit.  Counting, grouping and joining are DataFrame operations.  The join and
-the fetching run in ``ROUNDS`` parts of the words and documents, one after the
-other, so that only a part is on disk at once.  A block holds ``BLOCK`` bytes of
-text or one document.
-
-Defined results: lines without a word always stay; sets of up to ``ALONE`` words
-are near no other set, so they only meet equal ones in step 2; a null text has no lines and stays null; rows with equal id and
-text keep the same lines; rows of one id but different texts are told apart by
-the text's hash; further columns are passed through; an empty table gives an
-empty result.
+   by word with the set's size, the word's place and a parity signature: each
+   word flips one of 128 bits, so two sets differ in no more bits than words.  A
+   semi-join by word with the length, positional and signature filters keeps the
+   sets that have any possible partner; a row leaves it once, however many
+   partners a hot word offers.
+4. Only for those sets the words are cut again.  Each meets the earliest set of
+   every prefix word first and the Jaccard is verified; only sets without a match
+   there meet all earlier ones, so a group of near-equal lines never becomes all
+   its pairs.
+
+Sets and words are compared by hashes: 64 bits for a set, 56 for a word.  That two
+different ones of n are confounded has a chance of at most n * n / 2 ** 57 (words)
+and n * n / 2 ** 65 (sets).
+
+Defined results: every line with a word takes part; lines without one always
+stay; a null text has no lines and stays null; rows with equal id and text keep
+the same lines; rows of one id but different texts are told apart by the text's
+hash; a null id counts as the smallest; texts of any length are cut into lines,
+and a line is the largest thing held at once; further columns are passed
+through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import Stored, as_bytes, blocks, needed, release
+from .common import Stored, needed, release
 
-SIMILARITY, LEAST_WORDS = 0.8, 1
-ALONE = 3  # one word more or less is already below SIMILARITY
-BUCKETS = 1 << 22
-BLOCK = 4 << 20
-LONG_WORD = 256
-ROUNDS, HEAD_WORDS = 4, 3
+#: Hash buckets of the rarity table, as a power of two.
+BUCKETS = 1 << 18
+#: Sets of up to so many words are near no other set: one word more or less is already too much.
+ALONE = 3
 _HASH = (1 << 56) - 1
-_ONCE = 4  # the class of a bucket with one word
+_TOP_CLASS = 126
 
 ROW = ("doc_id", "h", "pos")
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """Each value's bits spread over 64, one to one."""
-    x = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _hashes(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words: eight bytes at a time over all words, longer ones than LONG_WORD by themselves."""
-    padded = np.frombuffer(text + bytes(8), np.uint8)
-    eight = np.ndarray(len(text) + 1, np.uint64, padded, strides=(1,))  # at every byte
-    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    out = _mixed((eight[starts] & masks[np.minimum(lengths, 8)]) ^ _mixed(lengths))
-    some = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
-    at = 8
-    while len(some):
-        out[some] = _mixed(out[some] ^ (eight[starts[some] + at] & masks[np.minimum(lengths[some] - at, 8)]))
-        at += 8
-        some = some[lengths[some] > at]
-    for k in np.flatnonzero(lengths > LONG_WORD):
-        out[k] = xxh64_intdigest(text[starts[k] : starts[k] + lengths[k]])
-    return out
-
-
-class _Words:
-    """The words of a text: codes into distinct words, their hashes, and the number of words of each line.
-
-    With a width above one, runs of so many words of a line stand for words; a shorter line is one run.
-    """
-
-    def __init__(self, text: bytes, width: int = 1):
-        raw = np.frombuffer(text, np.uint8)
-        solid = (raw != 32) & (raw - np.uint8(9) > 4)
-        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-        edges = np.concatenate([[0] if len(raw) and solid[0] else [], edges, [len(raw)] if len(raw) and solid[-1] else []]).astype(np.int64)
-        starts, ends = edges[::2], edges[1::2]
-        self.newlines = np.flatnonzero(raw == 10)
-        self.counts = np.diff(np.searchsorted(starts, self.newlines), prepend=0, append=len(starts))
-        hashes = _hashes(text, starts, ends - starts)
-        if width > 1:
-            hashes = self._runs(hashes, width)
-        words = pa.array(hashes).dictionary_encode()
-        self.codes = words.indices.to_numpy()
-        self.hashes = words.dictionary.to_numpy()
-
-    def _runs(self, hashes: np.ndarray, width: int) -> np.ndarray:
-        runs = np.where(self.counts > 0, np.maximum(self.counts - width + 1, 1), 0)
-        at = np.arange(runs.sum()) + np.repeat(np.cumsum(self.counts) - self.counts - (np.cumsum(runs) - runs), runs)
-        left = np.repeat(np.minimum(self.counts, width), runs)
-        out = np.zeros(len(at), np.uint64)
-        for k in range(width):
-            some = left > k
-            out[some] = _mixed(out[some] ^ hashes[at[some] + k])
-        self.counts = runs
-        return out
-
-    def buckets(self) -> np.ndarray:
-        return (self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-    def sets(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each line's set from rare to frequent: sizes, and all words in order."""
-        values = (classes[self.buckets()].astype(np.int64) << 56) | (self.hashes & np.uint64(_HASH)).astype(np.int64)
-        order = np.argsort(values)
-        rank = np.empty(len(values), np.int64)
-        rank[order] = np.arange(len(values))
-        keys = np.repeat(np.arange(len(self.counts)) << 32, self.counts) | rank[self.codes]
-        keys.sort()
-        keys = keys[np.diff(keys, prepend=-1) != 0]
-        return np.bincount(keys >> 32, minlength=len(self.counts)), values[order][keys & 0xFFFFFFFF]
-
-
-def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
-
-
-def _joined(batch: pa.RecordBatch) -> bytes:
-    return b"\n".join(as_bytes(batch.column("text")).to_pylist())
-
-
-def _counter(width: int) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for block in blocks(batches, "text", BLOCK):
-            words = _Words(_joined(block), width)
-            total += np.bincount(words.buckets(), np.bincount(words.codes, minlength=len(words.hashes)), BUCKETS).astype(np.int64)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["b", "n"])
-
-    return count
-
-
-def _classes(docs: DataFrame, width: int) -> np.ndarray:
-    """Of each bucket, the class of how many words fall in it."""
-    counts = docs.select("text").mapInArrow(_counter(width), "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    level = F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)).cast("int")
-    found = counts.select("b", level.alias("c")).toArrow()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.int8)
-    out[found["b"].to_numpy()] = found["c"].to_numpy()
-    return out
-
-
-def _at_least(n: np.ndarray) -> np.ndarray:
-    return np.ceil(n * SIMILARITY - 1e-9).astype(np.int64)
-
-
-def _index(docs: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
-    """(doc_id, h, pos, n, set, s0, s1, prefix) of every line with a word: set is the hash of its words, s0 and s1 their signature."""
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", BLOCK):
-            lengths = np.diff(np.concatenate([[0], np.cumsum(np.array([len(x) for x in as_bytes(block.column("text")).to_pylist()], np.int64) + 1)]))
-            words = _Words(_joined(block), width)
-            sizes, values = words.sets(classes)
-            first = np.searchsorted(words.newlines, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-            n_lines = np.diff(np.append(first, len(sizes)))
-            row = np.repeat(np.arange(len(first)), n_lines)
-            pos = np.arange(len(sizes)) - first[row]
-            use = np.flatnonzero(sizes >= LEAST_WORDS)
-            if not len(use):
-                continue
-            values, n = values[np.repeat(sizes >= LEAST_WORDS, sizes)], sizes[use]
-            at = np.cumsum(n) - n
-            mixed = _mixed(values)
-            bit = np.uint64(1) << ((mixed >> np.uint64(58)) & np.uint64(63))
-            high = (mixed >> np.uint64(57)) & np.uint64(1)
-            prefix = np.where(n > ALONE, n - _at_least(n) + 1, 0)
-            place = np.arange(len(values)) - np.repeat(at, n)
-            rare = np.where(values >> 56 <= _ONCE, 0, values)[place < np.repeat(prefix, n)]
-            long = lambda x: pa.array(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.column("doc_id").take(pa.array(row[use])), block.column("h").take(pa.array(row[use])), pa.array(pos[use], pa.int32()), pa.array(n, pa.int32()),
-                    long(np.add.reduceat(_mixed(_mixed(values).view(np.int64)), at)), long(np.bitwise_xor.reduceat(bit * high, at)), long(np.bitwise_xor.reduceat(bit * (np.uint64(1) - high), at)), _listed(rare, prefix),
-                ],
-                ["doc_id", "h", "pos", "n", "set", "s0", "s1", "prefix"],
-            )
-
-    return docs.where("text IS NOT NULL").select("doc_id", "h", "text").mapInArrow(index, "doc_id long, h long, pos int, n int, set long, s0 long, s1 long, prefix array<long>")
-
-
-def _prefixes(sets: DataFrame, most: int | None = None) -> DataFrame:
-    """(word, id, meta, s0, s1) of the prefix words, or the first of them; meta packs size above place."""
-    prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    rows = sets.select("id", "n", "s0", "s1", F.posexplode(prefix).alias("place", "word")).where("word != 0")
-    return rows.select("word", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place")).alias("meta"), "s0", "s1")
-
-
-def _need(n: Column, m: Column) -> Column:
-    """Common words that sets of n and m words need."""
-    return F.ceil((n + m) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
-
-
-def _may_match() -> Column:
-    """Length, positional and signature filters on sets a and b that share a prefix word."""
-    n, m = (F.shiftright(f"meta_{s}", 32) for s in "ab")
-    left, right = (k - F.col(f"meta_{s}").bitwiseAND(0xFFFFFFFF) for k, s in ((n, "a"), (m, "b")))
-    need = _need(n, m)
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("s0", "s1")), F.lit(0))
-    return (n >= m * SIMILARITY) & (m >= n * SIMILARITY) & (F.least(left, right) >= need) & (differ <= n + m - 2 * need)
-
-
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(later, earlier): sets of left and earlier ones of right that share a word and may be similar."""
-    sides = (d.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "meta", "s0", "s1"))) for d, s in ((left, "a"), (right, "b")))
-    met = reduce(lambda a, b: a.join(b, "word"), sides).where("id_b < id_a").where(_may_match())
-    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
-
-
-def _heads(rows: DataFrame) -> DataFrame:
-    """Of each word that several sets have, the earliest set."""
-    heads = rows.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("sharing"), *(F.min_by(c, "id").alias(c) for c in ("meta", "s0", "s1")))
-    return heads.where("sharing > 1").drop("sharing")
-
-
-def _words(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
-    """(id, words) of the wanted (doc_id, h, wanted) lines."""
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", BLOCK):
-            ids, lines = [], []
-            for text, want in zip(as_bytes(block.column("text")).to_pylist(), block.column("wanted").to_pylist()):
-                have = text.split(b"\n")
-                ids += [x["id"] for x in want]
-                lines += [have[x["pos"]] for x in want]
-            sizes, values = _Words(b"\n".join(lines), width).sets(classes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _listed(values, sizes)], ["id", "words"])
-
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.h == wanted.h)).select("text", "wanted")
-    return texts.mapInArrow(fetch, "id long, words array<long>")
-
-
-def _similar(store: Stored, docs: DataFrame, sets: DataFrame, pairs: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
-    """(later) of the pairs whose sets are similar enough."""
-    ends = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
-    lines = sets.select("id", "first").join(ends, "id").select("first.*", "id").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "id")).alias("wanted"))
-    wanted = store.put(lines)
-    parts = []
-    for k in range(ROUNDS):
-        mine = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k
-        parts.append(store.put(_words(docs.where(mine), wanted.where(mine), classes, width)))
-        release(docs.sparkSession)
-    # rows of equal id and text give the same words
-    words = reduce(DataFrame.unionByName, parts).dropDuplicates(["id"])
-    side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"words_{name}"))
-    both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-    common = F.size(F.array_intersect("words_later", "words_earlier"))
-    found = store.put(both.where(common >= _need(F.size("words_later"), F.size("words_earlier"))).select("later").distinct())
-    for k in range(ROUNDS + 1):
-        store.drop(store.n - 2 - k)
-    release(docs.sparkSession)
-    return found
-
-
-def removed_lines(docs: DataFrame, width: int = 1) -> DataFrame:
-    """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text).
-
-    With a width, a line is the set of its runs of so many words.  A group of near-equal lines has a square of pairs, of which one for each
-    line suffices: first every set is held against the earliest set of each of
-    its rarest words, and only sets without a match there meet all earlier ones.
-    """
+def _plain(text: Column) -> Column:
+    """All white space but line ends as spaces."""
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _classes(docs: DataFrame) -> Column:
+    """The class of every bucket, as a binary literal of one byte for each."""
+    word = F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " "))
+    buckets = docs.select(word.alias("word")).where("word != ''").select(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    empty = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).unionByName(empty).groupBy("bucket").agg(F.sum("n").alias("n"))
+    level = F.least(F.floor(F.log2(F.col("n") + 1) * 4) + 1, F.lit(_TOP_CLASS)).cast("int")
+    # one row of BUCKETS characters, each below 128
+    table = counts.select("bucket", level.alias("level")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("all"))
+    return F.lit(table.select(F.array_join(F.transform("all", lambda x: F.char(x["level"])), "")).first()[0].encode())
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, pos, line) of the lines with a word."""
+    return docs.select("doc_id", "h", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("pos", "line")).where("trim(line) != ''")
+
+
+def _keys(classes: Column) -> Column:
+    """The set of a line's words from rare to frequent."""
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
+    level = lambda h: F.ascii(F.substring(classes, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int"), F.lit(1)).cast("string"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(_HASH))))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """Rows with keys: their number n, their hash, signature and prefix."""
+    parity = "aggregate(keys, 0L, (a, x) -> a ^ shiftleft(({}x >> 24) & 1, int((x >> 18) & 63)))"
+    prefix = F.expr(f"slice(keys, 1, if(size(keys) > {ALONE}, size(keys) - (4 * size(keys) + 4) div 5 + 1, 0))")
+    return rows.withColumns({"set": F.xxhash64("keys"), "n": F.size("keys"), "s0": F.expr(parity.format("")), "s1": F.expr(parity.format("~")), "prefix": prefix})
+
+
+def _postings(sets: DataFrame, name: str) -> DataFrame:
+    """(name, word, n, place, s0, s1) of the prefix words."""
+    return sets.select(name, "n", "s0", "s1", F.posexplode("prefix").alias("place", "word"))
+
+
+#: Common words that sets a and b need.
+_NEED = "((4 * (a.n + b.n) + 8) div 9)"
+#: Length, positional and signature filters on sets a and b that share a prefix word.
+_MAY_MATCH = f"""a.word = b.word AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+AND least(a.n - a.place, b.n - b.place) >= {_NEED}
+AND bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= a.n + b.n - 2 * {_NEED}"""
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The later ids of the pairs whose sets are similar enough."""
+    side = lambda name: sets.select(F.col("id").alias(name), F.struct("n", "keys").alias(name[0]))
+    both = pairs.join(side("a_id"), "a_id").join(side("b_id"), "b_id")
+    return both.where(f"size(array_intersect(a.keys, b.keys)) >= {_NEED}").select(F.col("a_id").alias("id")).distinct()
+
+
+def _near(sets: DataFrame, store: Stored) -> DataFrame:
+    """The sets (id, n, s0, s1, prefix, keys) that have a similar set of a smaller id: (id)."""
+    rows = _postings(sets, "id")
+    heads = rows.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("sharing"), *(F.min_by(c, "id").alias(c) for c in ("n", "place", "s0", "s1"))).where("sharing > 1")
+    pairs = lambda a, b: a.alias("a").join(b.alias("b"), F.expr(f"b.id < a.id AND {_MAY_MATCH}")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
+    first = store.put(_similar(pairs(rows, heads), sets))
+    rest = _postings(sets.join(first, "id", "left_anti"), "id")
+    return first.unionByName(_similar(pairs(rest, rows), sets))
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text)."""
     spark = docs.sparkSession
-    store = Stored(spark, "lines")
-    classes = _classes(docs, width)
-    known = store.put(_index(docs, classes, width))
-    first = known.groupBy("set").agg(F.min(F.struct(*ROW, "n", "s0", "s1", "prefix")).alias("first"), F.count("*").alias("copies"))
-    flat = store.put(first.select("set", F.struct(*(F.col(f"first.{c}") for c in ROW)).alias("first"), "copies", "first.n", "first.s0", "first.s1", "first.prefix"))
+    store = Stored(spark, "lines", {"parquet.enable.dictionary": "false"})
+    classes = _classes(docs)
+    known = store.put(_described(_lines(docs).select(*ROW, _keys(classes).alias("keys"))).drop("keys"))
+    # the earliest line of each set; Spark limits each task's part of a hot set before it deals the rest out
+    first = known.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY set ORDER BY {', '.join(ROW)})")).where("rank = 1")
+    sets = store.put(first.select("set", F.struct(*ROW).alias("first"), "n", "s0", "s1", "prefix"))
     index = store.put(known.select(*ROW, "set"))
     store.drop(0)
     release(spark)
-    # numbered in the order of first lines; the numbers are written before anything uses them
-    sets = store.put(flat.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
-    store.drop(1)
+    a, b = (_postings(sets, "set").alias(x) for x in "ab")
+    able = store.put(a.join(b, F.expr(f"a.set != b.set AND {_MAY_MATCH}"), "left_semi").select("set").distinct())
     release(spark)
-    rarest = _prefixes(sets, HEAD_WORDS)
-    near = store.put(_met(rarest, _heads(rarest)))
-    release(spark)
-    found = _similar(store, docs, sets, near, classes, width)
-    still = store.put(sets.join(found.select(F.col("later").alias("id")), "id", "left_anti").select("id", "n", "s0", "s1", "prefix"))
+    wanted = sets.join(able, "set").select("first.*", "first").hint("shuffle_hash")
+    lines = _lines(docs)
+    same = lines.doc_id.eqNullSafe(wanted.doc_id) & (lines.h == wanted.h) & (lines.pos == wanted.pos)
+    cut = store.put(_described(lines.join(wanted, same).select("first", _keys(classes).alias("keys"))).dropDuplicates(["set"]))
+    # numbered in the order of first lines; the numbers are written before anything uses them
+    numbered = store.put(cut.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
     release(spark)
-    parts = []
-    for k in range(ROUNDS):
-        mine = F.pmod(F.col("word"), F.lit(ROUNDS)) == k
-        parts.append(store.put(_met(_prefixes(still).where(mine), _prefixes(sets).where(mine))))
-        release(spark)
-    store.drop(store.n - ROUNDS - 1)
-    rest = reduce(DataFrame.unionByName, parts).distinct()
-    gone = found.unionByName(_similar(store, docs, sets, rest, classes, width))
-    judged = sets.select("id", "set", "first", "copies").join(gone.select(F.col("later").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 or gone")
+    gone = _near(numbered, store).join(numbered.select("id", "set"), "id").select("set", F.lit(True).alias("gone"))
+    judged = sets.select("set", "first").join(gone, "set", "left")
     rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
     return store.put(rows.select(*ROW).distinct())
 
@@ -318,9 +154,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per document: its lines, how many go, and their positions from 0 as text."""
     docs = _identified(docs, id_col, text_col)
     gone = removed_lines(docs).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    counts = docs.select("doc_id", "h", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    counts = docs.select("doc_id", "h", F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
     joined = counts.join(gone, counts.doc_id.eqNullSafe(gone.doc_id) & (counts.h == gone.h), "left")
-    return joined.select(counts.doc_id, F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"))
+    return joined.select(counts.doc_id, "n_lines", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,6 +164,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = removed_lines(_identified(docs, id_col, text_col)).groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("hash", F.xxhash64("text"))
     joined = rows.join(gone, rows.id.eqNullSafe(gone.doc_id) & (rows.hash == gone.h), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("gone", k)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda k: F.get(F.col("lines"), k)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n"))).select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

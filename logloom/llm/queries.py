@@ -67,7 +67,7 @@ LINE_DEDUP_SQL = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM l),
 k AS (SELECT doc_id, pos, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM e),
-d AS (SELECT w, len(w) AS n, min(struct_pack(doc_id := doc_id, pos := pos)) AS first, row_number() OVER () AS id FROM k WHERE len(w) >= 5 GROUP BY w),
+d AS (SELECT w, len(w) AS n, min(struct_pack(doc_id := doc_id, pos := pos)) AS first, row_number() OVER () AS id FROM k WHERE len(w) >= 1 GROUP BY w),
 t AS (SELECT id, n, first, unnest(w) AS tok FROM d),
 f AS (SELECT tok, count(*) AS c FROM t GROUP BY tok),
 r AS (SELECT id, n, first, tok, row_number() OVER (PARTITION BY id ORDER BY c, tok) AS place FROM t JOIN f USING (tok)),

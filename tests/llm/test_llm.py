@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from logloom.llm import bpe, bpe_words, embedding_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, url_filters
 from logloom.llm.common import as_bytes, buffers
@@ -182,7 +183,7 @@ def test_line_dedup(docs, texts, nothing):
     for i, t in enumerate(texts):
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
             s = set(WORD.findall(line))
-            if len(s) < line_dedup.LEAST_WORDS:
+            if not s:
                 continue
             if any(5 * len(s & x) >= 4 * len(s | x) for x in earlier):
                 gone.setdefault(i, []).append(p)
@@ -210,6 +211,33 @@ def test_line_dedup_short_lines(spark):
     assert got == want == [3, 4, 9, 10, 12, 14]
 
 
+def test_line_dedup_hot_groups(spark):
+    """A line there hundreds of times, a large group of near copies, near misses of it, repeated ids, null ids, very long lines."""
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(3000)]
+    base = rng.sample(words, 40)
+    changed = lambda n: " ".join(rng.choice(words) if i in set(rng.sample(range(40), n)) else w for i, w in enumerate(base))
+    lines = ["the very common line"] * 300 + [changed(rng.choice([1, 2, 3])) for _ in range(150)] + [changed(rng.choice([4, 5, 6, 7, 8])) for _ in range(60)]
+    long = [rng.choice(words) for _ in range(6000)]
+    lines += [" ".join(long), " ".join([*long[:5000], *("z%d" % i for i in range(300))]), " ".join(rng.sample(words, 90)), "\t".join(words[:9]), "\x0b ".join(words[:9][::-1])]
+    rng.shuffle(lines)
+    rows = [(i // 2, "\n".join(lines[i * 9 : i * 9 + 9]), "k", 1) for i in range(len(lines) // 9 + 1)]
+    rows = sorted(rows, key=lambda r: r[0]) + [(None, "the very common line\nonly here with no id at all", "k", 1)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("h", F.xxhash64("text"))
+    ordered = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    earlier, want = [], set()
+    for r in ordered:
+        for p, line in enumerate(r["text"].split("\n")):
+            s = set(WORD.findall(line))
+            if s and any(5 * len(s & x) >= 4 * len(s | x) for x in earlier):
+                want.add((r["doc_id"], r["h"], p))
+            earlier += [s] if s else []
+    got = [tuple(r) for r in line_dedup.removed_lines(docs.select("doc_id", "h", "text")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    twice = docs.drop("h").unionByName(docs.drop("h"))
+    assert line_dedup.without_repeats(twice).count() == 2 * len(rows)
+
+
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_embeddings(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dedup, "TILE_ROWS", tile)
