@@ -5,13 +5,14 @@ then position) has a Jaccard similarity of 0.8 or more.
 
 1. Rarity: every word falls in one of ``BUCKETS`` buckets by its hash, and a
    bucket's class is the logarithm of how many words of the corpus fall in it.
-   The classes are a table of ``BUCKETS`` bytes, whatever the corpus; it travels
-   as a literal.  A word's key is its class above 56 bits of its hash, so sorted
+   The classes are a table of ``BUCKETS`` small numbers, whatever the corpus; it
+   travels as a literal.  A word's key is its class above 56 bits of its hash, so sorted
    keys run from rare to frequent.
 2. Lines with equal sets are one: the earliest stands for all.
 3. The prefix of a set (its rarest words, one more than may be missing) goes out
-   by word with the set's size, the word's place and a parity signature: each
-   word flips one of 128 bits, so two sets differ in no more bits than words.  A
+   by word with the set's size, the word's place and a parity signature: each word
+   flips one of 64 bits (of 128 in large sets, whose second part tells apart what
+   half of the words flipped), so two sets differ in no more bits than words.  A
    semi-join by word with the length, positional and signature filters keeps the
    sets that have any possible partner; a row leaves it once, however many
    partners a hot word offers.
@@ -43,6 +44,10 @@ from .common import Stored, needed, release
 BUCKETS = 1 << 18
 #: Sets of up to so many words are near no other set: one word more or less is already too much.
 ALONE = 3
+#: Sets of fewer words have only the first part of the signature.
+WIDE = 52
+#: Bits of the table of lines whose words are cut again, at most (16 MB).
+MOST_BITS = 1 << 27
 _HASH = (1 << 56) - 1
 _TOP_CLASS = 126
 
@@ -57,15 +62,16 @@ def _plain(text: Column) -> Column:
 
 
 def _classes(docs: DataFrame) -> Column:
-    """The class of every bucket, as a binary literal of one byte for each."""
+    """The class of every bucket: an array literal, folded from text by Spark's optimizer."""
     word = F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " "))
-    buckets = docs.select(word.alias("word")).where("word != ''").select(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    buckets = docs.select(word.alias("word")).select(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
     empty = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).unionByName(empty).groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * 4) + 1, F.lit(_TOP_CLASS)).cast("int")
-    # one row of BUCKETS characters, each below 128
+    # one row of BUCKETS small numbers
     table = counts.select("bucket", level.alias("level")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("all"))
-    return F.lit(table.select(F.array_join(F.transform("all", lambda x: F.char(x["level"])), "")).first()[0].encode())
+    text = table.select(F.array_join(F.transform("all", lambda x: x["level"].cast("string")), ",")).first()[0]
+    return F.split(F.lit(text), ",").cast("array<tinyint>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -77,41 +83,61 @@ def _keys(classes: Column) -> Column:
     """The set of a line's words from rare to frequent."""
     hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
     hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
-    level = lambda h: F.ascii(F.substring(classes, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int"), F.lit(1)).cast("string"))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(_HASH))))
+    level = lambda h: F.coalesce(F.get(classes, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(_HASH))))
+
+
+def _places(bits: int) -> Column:
+    """Which bit of a table stands for a line."""
+    return F.xxhash64(*ROW).bitwiseAND(bits - 1)
+
+
+def _listed(rows: DataFrame) -> Column:
+    """Whether a line may be one of rows: their bits, eight for each and ``MOST_BITS`` at most, travel as one array.
+
+    With more rows than that the table lets more lines through, and the join that follows shuffles more; it is exact either way.
+    """
+    bits = min(max(1 << (8 * rows.count()).bit_length(), 1 << 10), MOST_BITS)
+    place = rows.select(_places(bits).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
+    empty = rows.sparkSession.range(bits >> 6).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    all_words = words.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = all_words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("table")).scalar()
+    at = _places(bits)
+    return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
 
 
 def _described(rows: DataFrame) -> DataFrame:
     """Rows with keys: their number n, their hash, signature and prefix."""
-    parity = "aggregate(keys, 0L, (a, x) -> a ^ shiftleft(({}x >> 24) & 1, int((x >> 18) & 63)))"
+    parity = "aggregate(keys, 0L, (a, x) -> a ^ shiftleft({}, int(x & 63)))"
+    whole, half = parity.format("1L"), parity.format("(x >> 6) & 1")
     prefix = F.expr(f"slice(keys, 1, if(size(keys) > {ALONE}, size(keys) - (4 * size(keys) + 4) div 5 + 1, 0))")
-    return rows.withColumns({"set": F.xxhash64("keys"), "n": F.size("keys"), "s0": F.expr(parity.format("")), "s1": F.expr(parity.format("~")), "prefix": prefix})
+    return rows.withColumns({"set": F.xxhash64("keys"), "n": F.size("keys"), "s0": F.expr(whole), "s1": F.expr(f"if(size(keys) >= {WIDE}, {half}, 0L)"), "prefix": prefix})
 
 
 def _postings(sets: DataFrame, name: str) -> DataFrame:
-    """(name, word, n, place, s0, s1) of the prefix words."""
-    return sets.select(name, "n", "s0", "s1", F.posexplode("prefix").alias("place", "word"))
+    """(name, word, n, left, s0, s1) of the prefix words; left is how many words there are from this one on."""
+    return sets.select(name, "n", "s0", "s1", F.posexplode("prefix").alias("place", "word")).select(name, "word", "n", (F.col("n") - F.col("place")).alias("left"), "s0", "s1")
 
 
-#: Common words that sets a and b need.
-_NEED = "((4 * (a.n + b.n) + 8) div 9)"
-#: Length, positional and signature filters on sets a and b that share a prefix word.
-_MAY_MATCH = f"""a.word = b.word AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
-AND least(a.n - a.place, b.n - b.place) >= {_NEED}
-AND bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= a.n + b.n - 2 * {_NEED}"""
+#: Length, positional and signature filters on sets a and b whose first common word this is: of their n words
+#: together, 4 in 9 must be common, so 1 in 9 may differ.
+_MAY_MATCH = f"""a.word = b.word AND 9 * least(a.left, b.left) >= 4 * (a.n + b.n) AND 9 * bit_count(a.s0 ^ b.s0) <= a.n + b.n
+AND (least(a.n, b.n) < {WIDE} OR 9 * (bit_count(a.s1 ^ b.s1) + bit_count(a.s0 ^ a.s1 ^ b.s0 ^ b.s1)) <= a.n + b.n)
+AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"""
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The later ids of the pairs whose sets are similar enough."""
     side = lambda name: sets.select(F.col("id").alias(name), F.struct("n", "keys").alias(name[0]))
     both = pairs.join(side("a_id"), "a_id").join(side("b_id"), "b_id")
-    return both.where(f"size(array_intersect(a.keys, b.keys)) >= {_NEED}").select(F.col("a_id").alias("id")).distinct()
+    return both.where(f"9 * size(array_intersect(a.keys, b.keys)) >= 4 * (a.n + b.n)").select(F.col("a_id").alias("id")).distinct()
 
 
 def _near(sets: DataFrame, store: Stored) -> DataFrame:
     """The sets (id, n, s0, s1, prefix, keys) that have a similar set of a smaller id: (id)."""
     rows = _postings(sets, "id")
-    heads = rows.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("sharing"), *(F.min_by(c, "id").alias(c) for c in ("n", "place", "s0", "s1"))).where("sharing > 1")
+    heads = rows.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("sharing"), *(F.min_by(c, "id").alias(c) for c in ("n", "left", "s0", "s1"))).where("sharing > 1")
     pairs = lambda a, b: a.alias("a").join(b.alias("b"), F.expr(f"b.id < a.id AND {_MAY_MATCH}")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
     first = store.put(_similar(pairs(rows, heads), sets))
     rest = _postings(sets.join(first, "id", "left_anti"), "id")
@@ -131,17 +157,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     store.drop(0)
     release(spark)
     a, b = (_postings(sets, "set").alias(x) for x in "ab")
-    able = store.put(a.join(b, F.expr(f"a.set != b.set AND {_MAY_MATCH}"), "left_semi").select("set").distinct())
+    able = store.put(a.join(b, F.expr(f"{_MAY_MATCH} AND a.set != b.set"), "left_semi").select("set").distinct())
+    del first, a, b
     release(spark)
-    wanted = sets.join(able, "set").select("first.*", "first").hint("shuffle_hash")
-    lines = _lines(docs)
+    wanted = store.put(sets.join(able, "set").select("first.*", "first"))
+    lines, wanted = _lines(docs).where(_listed(wanted)), wanted.hint("shuffle_hash")
     same = lines.doc_id.eqNullSafe(wanted.doc_id) & (lines.h == wanted.h) & (lines.pos == wanted.pos)
     cut = store.put(_described(lines.join(wanted, same).select("first", _keys(classes).alias("keys"))).dropDuplicates(["set"]))
     # numbered in the order of first lines; the numbers are written before anything uses them
     numbered = store.put(cut.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
     release(spark)
-    gone = _near(numbered, store).join(numbered.select("id", "set"), "id").select("set", F.lit(True).alias("gone"))
-    judged = sets.select("set", "first").join(gone, "set", "left")
+    gone = store.put(_near(numbered, store).join(numbered.select("id", "set"), "id").select("set", F.lit(True).alias("gone")))
+    judged = sets.select("set", "first").join(gone.hint("shuffle_hash"), "set", "left").hint("shuffle_hash")
     rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
     return store.put(rows.select(*ROW).distinct())
 
