@@ -1,15 +1,17 @@
 """Sequence packing along a Hilbert curve.
 
 Each document's distinct-word hashes are summed into a signed vector of a few
-dimensions; the vector's place on a Hilbert curve is its key.  Documents are
-range-partitioned and sorted by that key (equal keys are spread by a hash of the
-id), and each partition packs its stream of tokens into sequences: neighbours
-on the curve share sequences.  Every sequence but a partition's last is full;
+dimensions; the vector's place on a Hilbert curve is its key.  Key and ids are
+made in one reading and written to the shared folder, then range-partitioned by
+Spark's sample of the keys and sorted (equal keys are spread by a hash of the
+id).  Each partition packs its stream of tokens into sequences: neighbours on
+the curve share sequences.  Every sequence but a partition's last is full;
 the rest of a partition is cut into sequences whose lengths are powers of two,
 so nothing is padded.
 
 Defined results: a null or empty text is its end token alone; repeated rows are
-packed one by one; further columns are ignored; an empty table gives no pieces.
+packed one by one; a null id stays null; documents of any length are cut into
+pieces, and one document's ids are held at once; further columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import as_bytes, blocks, buffers, needed, shuffle_partitions
+from .common import Stored, as_bytes, blocks, buffers, needed, shuffle_partitions
 
 #: Dimensions of a document vector and bits of each on the curve.
 DIMENSIONS, BITS = 4, 10
 SEQUENCE, END_TOKEN = 2048, 1
 #: Text bytes that one partition packs, about.
 PARTITION_BYTES = 128 << 20
+#: Bytes of text in a block; a block's distinct words are encoded once.
+TEXT_BLOCK = 16 << 20
 #: Sequences are numbered from partition << this.
 PARTITION_SHIFT = 40
 
@@ -66,7 +71,7 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 def curve_keys(block: bpe.Words, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
     """Hilbert key of each text from signed sums of its words' hashes, scaled by their standard deviation."""
-    hashes = np.fromiter((zlib.crc32(w.strip()) for w in block.words), np.int64, len(block.words))
+    hashes = np.fromiter((zlib.crc32(w.strip()) for w in block.words), np.int64, len(block.dictionary))
     signs = np.stack([((hashes >> (7 * k)) & 1) * 2 - 1 for k in range(dims)]) if len(hashes) else np.zeros((dims, 0), np.int64)
     n = np.diff(block.first)
     point = np.empty((len(n), dims), np.int64)
@@ -84,34 +89,20 @@ def _spread(doc_ids: pa.Array) -> np.ndarray:
     return ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """(key, n_bytes) of every document (doc_id, text)."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            offsets, data = buffers(as_bytes(block.column("text")))
-            key = (curve_keys(bpe.Words(offsets, data)) << 16) | _spread(block.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.diff(offsets))], names=["key", "n_bytes"])
-
-    return docs.mapInArrow(of, "key long, n_bytes long")
-
-
-def tokenized(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
-    """(part, key, doc_id, ids): ids as little-endian 16-bit numbers with the end token; part by the key's bounds."""
-    limits = np.array(bounds, dtype=np.int64)
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """(key, doc_id, ids) of every document (doc_id, text): ids as little-endian 16-bit numbers with the end token."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.encoder(path)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TEXT_BLOCK):
             split = bpe.Words(*buffers(as_bytes(block.column("text"))))
             key = (curve_keys(split) << 16) | _spread(block.column("doc_id"))
             ids, at = words.ids(split)
             end = np.array([END_TOKEN], np.uint16).tobytes()
             packed = [ids[a:b].tobytes() + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            part = np.searchsorted(limits, key, side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), block.column("doc_id"), pa.array(packed, pa.binary())], names=["part", "key", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), block.column("doc_id"), pa.array(packed, pa.binary())], names=["key", "doc_id", "ids"])
 
-    return docs.mapInArrow(of, "part int, key long, doc_id long, ids binary")
+    return docs.mapInArrow(of, "key long, doc_id long, ids binary")
 
 
 class Packer:
@@ -164,27 +155,21 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """Pieces of documents in sequences of at most ``length`` tokens, a power of two."""
     spark = docs.sparkSession
     docs = needed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    key = keys(docs)
-    size = docs.select(F.sum(F.octet_length("text")).alias("n"))
-    total = size.first()["n"] or 0
+    total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(shuffle_partitions(spark), -(-total // PARTITION_BYTES))
-    shares = [k / parts for k in range(1, parts)]
-    bounds = key.select(F.percentile_approx("key", shares, 20 * parts).alias("b")).first()["b"] if shares else []
+    rows = Stored(spark, "packing", {"parquet.enable.dictionary": "false"}).put(tokenized(docs, path))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = None
+        packer = Packer(TaskContext.get().partitionId() << PARTITION_SHIFT, length)
         for batch in batches:
-            for part, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
-                if packer is None:
-                    packer = Packer(part << PARTITION_SHIFT, length)
-                packer.add(doc_id, np.frombuffer(ids, np.uint16))
-            if packer and packer.rows:
-                yield packer.take()
-        if packer:
-            packer.finish()
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                packer.add(doc_id, np.frombuffer(ids.as_buffer(), np.uint16))
             if packer.rows:
                 yield packer.take()
+        packer.finish()
+        if packer.rows:
+            yield packer.take()
 
-    rows = tokenized(docs, path, sorted(bounds or []))
-    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id")
-    return dealt.mapInArrow(cut, PIECES)
+    # ids at last, so that a task that runs again packs in the same order
+    dealt = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "doc_id", "ids")
+    return dealt.select("doc_id", "ids").mapInArrow(cut, PIECES)
