@@ -3,11 +3,14 @@
 Quality classifier, line dedup, SimHash near-dedup, repeated-substring removal,
 packing.  All stages but the last return the columns of documents; where a stage
 changes a text, n_chars follows.  Near copies are documents whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of such
-pairs differ in too many bits for a search that is both whole and affordable, so
-the stage uses line dedup's exact join on shingles and no fingerprints.  A document
-goes if an earlier one (by id) is near; texts without a word equal each other;
-rows that share an id share its fate.
+five-word shingles have a Jaccard similarity of 0.8 or more; one document stays
+of each group that such pairs connect, the first by id.
+
+Null texts pass as empty ones (the classifier judges them, one of all texts
+without a word stays in the third stage, packing gives them their end token);
+documents with a null id are treated like others, as the smallest id; texts of
+any length are read whole; equal rows are copies of each other; an empty table
+gives an empty result; further columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -15,16 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup, packing, quality_classifier, suffix_dedup
+from logloom.llm import line_dedup, packing, quality_classifier, simhash, suffix_dedup
 from logloom.llm.common import Stored, table
 from logloom.llm.queries import vocabulary
 from logloom.session import reachable
 
 
-SHINGLE_WORDS = 5
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -41,14 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
-    # lower case as op5's, and a document as one line
-    line = F.translate(F.coalesce("text", F.lit("")), _UPPER + "\n", _UPPER.lower() + " ")
-    rows = docs.select(F.col("doc_id").cast("long"), line.alias("text")).withColumn("h", F.xxhash64("text"))
-    near = line_dedup.removed_lines(rows, SHINGLE_WORDS).select("doc_id")
-    blank = rows.where(F.trim(F.translate("text", "\t\x0b\x0c\r", "    ")) == "").select("doc_id")
-    first = blank.agg(F.min("doc_id").alias("first"))
-    dropped = near.unionByName(blank.join(first, F.col("doc_id") > F.col("first")).select("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return simhash.without_near_copies(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,10 @@ from .components import connected_components
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: Blocks of bits at least; two of them make a key.
 LEAST_BLOCKS = 5
+#: Near copies: shingles, similarity, radius of their fingerprints, tables of least shingles, and bytes of text in a block.
+NEAR_WORDS, SIMILARITY, NEAR_RADIUS, TABLES, NEAR_BLOCK = 5, 0.8, 20, 8, 4 << 20
+#: Odd multipliers that put hashes into each table's order.
+_ORDERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(TABLES)], np.uint64)
 #: Rows of a tile, and bits of population count in a band of tiles.
 TILE_ROWS, BAND = 4096, 4
 
@@ -91,9 +95,8 @@ def _keys(radius: int) -> F.Column:
     return F.array(*[F.lit(k << 26).cast("long").bitwiseOR(F.shiftleft(part[i], 13)).bitwiseOR(part[j]) for k, (i, j) in enumerate(pairs)])
 
 
-def _compare(fp: np.ndarray, tile: np.ndarray, same: bool, radius: int) -> tiles.Forest:
-    """Links within a tile (same) or between the two tiles of a pair."""
-    forest = tiles.Forest(len(fp))
+def _near(fp: np.ndarray, tile: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of fingerprints within the radius, within a tile (same) or between the two tiles of a pair."""
     count = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(count, kind="stable")
     sides = [order, order] if same else [order[tile[order] == t] for t in (tile.min(), tile.max())]
@@ -106,49 +109,31 @@ def _compare(fp: np.ndarray, tile: np.ndarray, same: bool, radius: int) -> tiles
             right = sides[1][to : min(to + step, b)]
             near = np.bitwise_count(fp[left][:, None] ^ fp[right][None, :]) <= radius
             i, j = np.nonzero(near)
-            forest.join(left[i], right[j])
-    return forest
+            yield left[i], right[j]
+
+
+def _dealt(keyed: DataFrame, radius: int) -> DataFrame:
+    """Rows (id, fp, key) in tiles by their population count."""
+    return tiles.spread(keyed, "key", F.xxhash64("fp", "id"), TILE_ROWS, F.floor(F.bit_count("fp") / BAND), max(1, -(-radius // BAND)))
+
+
+def _forest(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): for each tile pair a spanning forest of the links between its rows (id, fp, key)."""
+
+    def work(fp: np.ndarray, tile: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        forest = tiles.Forest(len(fp))
+        for i, j in _near(fp.view(np.uint64), tile, same, radius):
+            forest.join(i, j)
+        return forest.links()
+
+    return tiles.compared(_dealt(keyed, radius), ["fp"], work)
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): a spanning forest of the links between rows (id, fp) with distinct fp."""
     if not 0 <= radius <= 62:
         raise ValueError("radius must be from 0 to 62")
-    keyed = prints.select("id", "fp", F.explode(_keys(radius)).alias("key"))
-    band = F.floor(F.bit_count("fp") / BAND)
-    dealt = tiles.spread(keyed, "key", F.xxhash64("fp"), TILE_ROWS, band, max(1, -(-radius // BAND)))
-    dealt = dealt.repartition(F.col("key"), F.col("tile_a"), F.col("tile_b")).sortWithinPartitions("key", "tile_a", "tile_b")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups(table: pa.Table, last: bool):
-            cols = [np.asarray(table.column(c)) for c in ("key", "tile_a", "tile_b", "tile", "fp", "id")]
-            at = tiles.starts(*cols[:3])
-            upto = len(at) - 1 if last else len(at) - 2
-            sizes = np.diff(at[: upto + 1])
-            a, b = [], []
-            for k in np.flatnonzero(sizes > 1):
-                s = slice(at[k], at[k + 1])
-                same = cols[1][at[k]] == cols[2][at[k]]
-                if not same and cols[3][s].min() == cols[3][s].max():
-                    continue
-                child, root = _compare(cols[4][s].view(np.uint64), cols[3][s], same, radius).links()
-                a.append(cols[5][s][child])
-                b.append(cols[5][s][root])
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], names=["a", "b"])
-            return out, table.slice(int(at[upto]))
-
-        rest = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            rest = part if rest is None else pa.concat_tables([rest, part])
-            if rest.num_rows < 50_000:
-                continue
-            out, rest = groups(rest, False)
-            yield out
-        if rest is not None and rest.num_rows:
-            yield groups(rest, True)[0]
-
-    return dealt.select("id", "fp", "key", "tile", "tile_a", "tile_b").mapInArrow(of, "a long, b long")
+    return _forest(prints.select("id", "fp", F.explode(_keys(radius)).alias("key")), radius)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -160,3 +145,108 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(group, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def _sketch(text: bytes, width: int) -> tuple[int, int, list[int], np.ndarray]:
+    """Fingerprint, hash of the set of shingles, least values under each table's order, and the set itself."""
+    h = np.array(_hashes(text, width), dtype=np.uint64)
+    distinct = np.unique(h)
+    if not len(h):
+        return 0, 0, [], distinct
+    raw = h.view(np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    mixed = (distinct[None, :] ^ (distinct[None, :] >> np.uint64(29))) * _ORDERS[:, None]
+    mixed ^= mixed >> np.uint64(32)
+    return int(_WEIGHTS[2 * ones > len(h)].sum()), xxh64_of(distinct), mixed.min(axis=1).view(np.int64).tolist(), distinct
+
+
+def xxh64_of(values: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(np.ascontiguousarray(values))
+
+
+def _sketches(rows: DataFrame, width: int) -> DataFrame:
+    """(k, doc_id, set, fp, least) of rows (k, doc_id, text)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", NEAR_BLOCK):
+            found = [_sketch(x, width)[:3] for x in as_bytes(block.column("text")).to_pylist()]
+            fp, sets = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([block.column("k"), block.column("doc_id"), sets, fp, pa.array([x[2] for x in found], pa.list_(pa.int64()))], names=["k", "doc_id", "set", "fp", "least"])
+
+    return rows.mapInArrow(of, "k long, doc_id long, set long, fp long, least array<long>")
+
+
+def _shingles(rows: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of rows (id, text): the hashes of the distinct shingles."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", NEAR_BLOCK):
+            found = [np.unique(np.array(_hashes(x, width), np.uint64)).view(np.int64) for x in as_bytes(block.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return rows.mapInArrow(of, "id long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
+    return both.where(F.col("common") >= SIMILARITY * (F.size("a_set") + F.size("b_set") - F.col("common")) - 1e-9).select("a", "b")
+
+
+def similar_links(store: Stored, rows: DataFrame, units: DataFrame, width: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
+    """(a, b): links between units (id, k, fp, least) of similar shingle sets that connect all that are similar.
+
+    rows are (k, text).  Fingerprints within the radius link units of a tile; the
+    exact similarity decides.  First each unit meets the first of its group of
+    linked fingerprints; then those that aren't similar to it meet all others of
+    their tiles, so a large group of copies never becomes all its pairs.
+    """
+    table = F.posexplode("least").alias("table", "value")
+    keyed = store.put(units.where("size(least) > 0").select("id", "fp", table).select("id", "fp", F.xxhash64("table", "value").alias("key")))
+    groups = store.put(connected_components(_forest(keyed, radius), "a", "b"))
+    texts = rows.join(units.join(groups, F.col("id") == F.col("node")).select("k", "id"), "k").select("id", "text")
+    # rows of one key have one text
+    sets = store.put(_shingles(texts, width).dropDuplicates(["id"]))
+    stars = store.put(_verified(groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), sets))
+    open_rows = groups.join(stars, F.col("node") == F.col("a"), "left_anti").select(F.col("node").alias("id"), F.lit(1).alias("open"))
+    marked = keyed.join(open_rows, "id", "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    # only keys with an open row and another one can add links
+    useful = marked.groupBy("key").agg(F.sum("open").alias("n_open"), F.count("*").alias("n")).where("n_open > 0 AND n > 1").select("key")
+
+    def work(fp: np.ndarray, open_: np.ndarray, tile: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        found = [(i[take], j[take]) for i, j in _near(fp.view(np.uint64), tile, same, radius) if (take := ((open_[i] | open_[j]) > 0) & (i != j)).any()]
+        return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+    pairs = tiles.compared(_dealt(marked.join(useful, "key", "left_semi"), radius), ["fp", "open"], work)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return stars.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), sets))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
+    """One document (the first by id) of each group of near copies, with all columns.
+
+    Near are texts whose sets of shingles of so many words have a Jaccard
+    similarity of ``SIMILARITY`` or more; groups are what such links connect.
+    Candidates are fingerprints within a wide radius in tiles that share a least
+    shingle in one of ``TABLES`` orders: two texts at the similarity share none
+    with a chance of 0.2 ** TABLES, and differ in more bits than the radius with
+    a chance below 0.001 (measured in the tests); what is found is exact.  Equal
+    rows, even of one id, are copies of each other, and one stays; rows that
+    share an id but not the text are judged each by its text; a null id counts as
+    the smallest; texts without a word are equal to each other; null texts count
+    as empty.
+    """
+    store = Stored(docs.sparkSession, "near")
+    own = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own = own.withColumn("k", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text"))
+    known = store.put(_sketches(own.select("k", "doc_id", "text"), width))
+    first = known.groupBy("set").agg(F.min(F.struct("doc_id", "k", "fp", "least")).alias("first")).select("first.*")
+    # numbered in the order of ids; the numbers are written before anything uses them
+    units = store.put(first.orderBy("doc_id", "k").withColumn("id", F.monotonically_increasing_id()))
+    linked = connected_components(similar_links(store, own.select("k", "text"), units, width, radius), "a", "b")
+    stay = store.put(units.join(linked.where("node != component"), F.col("id") == F.col("node"), "left_anti").select("k"))
+    kept = own.join(stay, "k", "left_semi").withColumn("copy", F.expr("row_number() OVER (PARTITION BY k ORDER BY k)")).where("copy = 1")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

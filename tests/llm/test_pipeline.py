@@ -6,10 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
-import xxhash
 
 import corpus_pipeline
-from logloom.llm import bpe, line_dedup, quality_classifier
+from logloom.llm import bpe, quality_classifier, simhash
 from logloom.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,6 +35,29 @@ def collected(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 
 
+def shingles(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _firsts(texts):
+    """The least id of each group that a Jaccard similarity of 0.8 of five-word shingles connects."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return sorted(i for i in sets if root[i] == i)
+
+
 def test_stages(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     columns, seen = docs.columns, [collected(docs)]
@@ -57,7 +79,7 @@ def test_stages(spark, tables, tmp_path):
         left = []
         for line in (kept[i] or "").split("\n"):
             s = set(WORD.findall(line))
-            if len(s) >= line_dedup.LEAST_WORDS:
+            if s:
                 if any(5 * len(s & x) >= 4 * len(s | x) for x in earlier):
                     continue
                 earlier.append(s)
@@ -65,21 +87,7 @@ def test_stages(spark, tables, tmp_path):
         want[i] = None if kept[i] is None else "\n".join(left)
     assert lined == want and lined != kept
 
-    def fp(t):
-        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        h = [xxhash.xxh64(" ".join(w[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    group = {i: fp(t) for i, t in lined.items()}
-    root = {i: i for i in lined}
-    changed = True
-    while changed:
-        changed = False
-        for a in root:
-            for b in root:
-                if root[b] < root[a] and (group[a] ^ group[b]).bit_count() <= 3:
-                    root[a], changed = root[b], True
-    assert single == {i: t for i, t in lined.items() if root[i] == i}
+    assert single == {i: lined[i] for i in _firsts(lined)}
 
     raw = {i: (t or "").encode() for i, t in single.items()}
     once, twice = set(), set()
@@ -111,7 +119,7 @@ def test_run(spark, tables):
 
 
 def test_near_copies_by_five_word_shingles(spark):
-    """Of documents with a Jaccard similarity of 0.8 or more of five-word shingles, only the first stays."""
+    """Of each group that a Jaccard similarity of 0.8 or more of five-word shingles connects, the first stays."""
     rng = random.Random(8)
     words = ["w%d" % i for i in range(2000)]
     rows = []
@@ -126,14 +134,57 @@ def test_near_copies_by_five_word_shingles(spark):
     rng.shuffle(rows)
     rows += ["", None, " \t\n", "one", "ONE", "one two"]
 
-    def shingles(t):
-        w = WORD.findall((t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [shingles(t) for t in rows]
-    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
-    want = [i for i, s in enumerate(sets) if not any(near(s, x) for x in sets[:i])]
+    want = _firsts(dict(enumerate(rows)))
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.near_copies(spark, docs, "")
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == want
     assert len(want) < len(rows) - 40
+
+
+def test_near_copies_by_row(spark):
+    """Equal rows leave one, an id's other text is judged by itself, null ids and an empty table work, columns may clash."""
+    words = ["w%d" % i for i in range(60)]
+    base, other = " ".join(words[:50]), " ".join(words[::-1])
+    rows = [(1, base, "x", 1), (1, base, "x", 1), (2, base + " more", "y", 2), (2, other, "z", 3), (None, other + " end", "n", 4), (None, None, "m", 5), (7, "", "o", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string, id long")
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [rows[0], rows[4], rows[5]]))
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_in_a_large_group(spark, monkeypatch):
+    """Hundreds of near copies, over several tiles, and near misses of them."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", 50)
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(5000)]
+    base = rng.sample(words, 400)
+    rows = []
+    for k in range(260):
+        near = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 9, 12, 16])):
+            near[rng.randrange(400)] = rng.choice(words)
+        rows.append(" ".join(near))
+    rows += [" ".join(rng.sample(words, 200)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = _firsts(dict(enumerate(rows)))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == want and 40 < len(want) < 250
+
+
+def test_radius_of_near_copies():
+    """Of pairs at the similarity, fewer than one in a thousand differ in more bits than the radius."""
+    rng = random.Random(11)
+    words = ["w%d" % i for i in range(20000)]
+    beyond = tried = 0
+    while tried < 3000:
+        base = [rng.choice(words) for _ in range(rng.choice([30, 60, 120, 300]))]
+        near = list(base)
+        for _ in range(max(1, len(base) // 45)):
+            near[rng.randrange(len(base))] = rng.choice(words)
+        a, b = shingles(" ".join(base)), shingles(" ".join(near))
+        if 5 * len(a & b) < 4 * len(a | b):
+            continue
+        tried += 1
+        x, y = (simhash.fingerprint(" ".join(t).encode(), simhash.NEAR_WORDS) for t in (base, near))
+        beyond += (x ^ y).bit_count() > simhash.NEAR_RADIUS
+    assert beyond <= 3
