@@ -6,7 +6,7 @@ then position) has a Jaccard similarity of 0.8 or more.
 1. Rarity: every word falls in one of ``BUCKETS`` buckets by its hash, and a
    bucket's class is the logarithm of how many words of the corpus fall in it.
    The classes are a table of ``BUCKETS`` small numbers, whatever the corpus; it
-   travels as a literal.  A word's key is its class above 56 bits of its hash, so sorted
+   is a subquery's result.  A word's key is its class above 56 bits of its hash, so sorted
    keys run from rare to frequent.
 2. Lines with equal sets are one: the earliest stands for all.
 3. The prefix of a set (its rarest words, one more than may be missing) goes out
@@ -61,17 +61,16 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _classes(docs: DataFrame) -> Column:
-    """The class of every bucket: an array literal, folded from text by Spark's optimizer."""
+def _classes(store: Stored, docs: DataFrame) -> Column:
+    """The class of every bucket: one array of small numbers, as a subquery."""
     word = F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " "))
     buckets = docs.select(word.alias("word")).select(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
     empty = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).unionByName(empty).groupBy("bucket").agg(F.sum("n").alias("n"))
-    level = F.least(F.floor(F.log2(F.col("n") + 1) * 4) + 1, F.lit(_TOP_CLASS)).cast("int")
+    level = F.least(F.floor(F.log2(F.col("n") + 1) * 4) + 1, F.lit(_TOP_CLASS)).cast("byte")
     # one row of BUCKETS small numbers
-    table = counts.select("bucket", level.alias("level")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("all"))
-    text = table.select(F.array_join(F.transform("all", lambda x: x["level"].cast("string")), ",")).first()[0]
-    return F.split(F.lit(text), ",").cast("array<tinyint>")
+    table = counts.select("bucket", level.alias("level")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).getField("level").alias("levels"))
+    return store.put(table).scalar()
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -79,12 +78,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "h", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("pos", "line")).where("trim(line) != ''")
 
 
-def _keys(classes: Column) -> Column:
-    """The set of a line's words from rare to frequent."""
+def _with_keys(lines: DataFrame, classes: Column) -> DataFrame:
+    """Lines with keys: the set of a line's words from rare to frequent.
+
+    The optimizer puts the subquery in the place of the column, so that no row carries the table.
+    """
     hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
     hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
-    level = lambda h: F.coalesce(F.get(classes, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(_HASH))))
+    level = lambda h: F.coalesce(F.get("classes", h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0))
+    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(_HASH))))
+    kept = [c for c in lines.columns if c != "line"]
+    return lines.withColumn("classes", classes).select(*kept, keys.alias("keys"))
 
 
 def _places(bits: int) -> Column:
@@ -148,13 +152,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos) of the lines that go, of docs (doc_id, h, text)."""
     spark = docs.sparkSession
     store = Stored(spark, "lines", {"parquet.enable.dictionary": "false"})
-    classes = _classes(docs)
-    known = store.put(_described(_lines(docs).select(*ROW, _keys(classes).alias("keys"))).drop("keys"))
+    classes = _classes(store, docs)
+    known = store.put(_described(_with_keys(_lines(docs), classes)).drop("keys"))
     # the earliest line of each set; Spark limits each task's part of a hot set before it deals the rest out
     first = known.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY set ORDER BY {', '.join(ROW)})")).where("rank = 1")
     sets = store.put(first.select("set", F.struct(*ROW).alias("first"), "n", "s0", "s1", "prefix"))
     index = store.put(known.select(*ROW, "set"))
-    store.drop(0)
+    store.drop(1)
     release(spark)
     a, b = (_postings(sets, "set").alias(x) for x in "ab")
     able = store.put(a.join(b, F.expr(f"{_MAY_MATCH} AND a.set != b.set"), "left_semi").select("set").distinct())
@@ -163,7 +167,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     wanted = store.put(sets.join(able, "set").select("first.*", "first"))
     lines, wanted = _lines(docs).where(_listed(wanted)), wanted.hint("shuffle_hash")
     same = lines.doc_id.eqNullSafe(wanted.doc_id) & (lines.h == wanted.h) & (lines.pos == wanted.pos)
-    cut = store.put(_described(lines.join(wanted, same).select("first", _keys(classes).alias("keys"))).dropDuplicates(["set"]))
+    cut = store.put(_described(_with_keys(lines.join(wanted, same).select("first", "line"), classes)).dropDuplicates(["set"]))
     # numbered in the order of first lines; the numbers are written before anything uses them
     numbered = store.put(cut.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
     release(spark)
