@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Bytes of text that one Python block holds at most, unless one text is longer.
 BLOCK_BYTES = 16 << 20
 
@@ -21,17 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
-            found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 class Stored:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
@@ -56,11 +48,19 @@ class Stored:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished steps."""
-    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.5)  # the cleaner works in the background
 
 
+def trim() -> None:
+    """Give memory that Python has freed back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import as_bytes, buffers, needed
+from .common import as_bytes, buffers, needed, trim
 from .quality_rules import repeated_mask
 
 PASSAGE_WORDS = 48
@@ -139,8 +139,10 @@ class Model:
         return g
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
+        """Fit on passages x, which are scaled in place."""
         self.mean, self.scale = x.mean(axis=0), 1 / (x.std(axis=0) + 1e-3)
-        x = (x - self.mean) * self.scale
+        x -= self.mean
+        x *= self.scale
         rng, step = np.random.default_rng(SEED), 0
         m, s = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
         for epoch in range(EPOCHS):
@@ -179,8 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = needed(labels, doc_id="doc_id", quality="quality").where("quality in (0, 1)").where(~held_out("doc_id"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     texts = needed(docs, doc_id=id_col, text=text_col).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    # the sample has sample_rows rows at most
-    rows = texts.join(F.broadcast(sample), "doc_id").toArrow()
+    # the sample has sample_rows rows at most, and as many texts are taken, also where ids repeat
+    rows = texts.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows).toArrow()
     y = np.asarray(rows.column("quality")).astype(np.float32)
     if not 0 < y.sum() < len(y):
         return Model((y.sum() + 1) / (len(y) + 2))
@@ -192,7 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         parts.append(x)
         first.append(f[1:] + at)
         at += len(x)
-    return Model(float(y.mean())).fit(np.concatenate(parts), np.concatenate(first), y[order])
+    x = np.concatenate(parts)
+    del rows, column, parts
+    model = Model(float(y.mean())).fit(x, np.concatenate(first), y[order])
+    del x
+    trim()
+    return model
 
 
 def held_out(id_col: str) -> Column:
