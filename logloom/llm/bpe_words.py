@@ -1,69 +1,137 @@
 """Encoding and decoding with a distinct-word table.
 
-Spark's tasks split their texts into words, and the distinct words of a block
-make a table in which each is encoded once; ids come back by position, and the
-decoded text through the id-to-piece table of the vocabulary (fixed size).  The
-word table stays with the block: joining one table of all words back by
-position would shuffle every word of the corpus, several times its size.
+1. Tasks split their texts into words.  A block of texts keeps, for each word in
+   turn, its code among the block's distinct words; block and distinct words are
+   written once.
+2. All blocks' words make one table of distinct words in Spark, and the tokenizer
+   library encodes each of them once.
+3. Decoding is a join of the ids with the vocabulary's table from id to piece,
+   which has a fixed size; a word's pieces are put back in order.
+4. Ids and pieces are joined back to the blocks by word, and within its block each
+   code takes them to its positions: what is shuffled is a row for each distinct
+   word of a block, not for each word of a text.
 
 Defined results: a null or empty text has no tokens and decodes to ''; repeated
-rows are encoded one by one; further columns are ignored; an empty table gives
-an empty result.
+rows are encoded one by one; a null id stays null; a text of any length is one
+block at most; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import as_bytes, blocks, buffers, needed
+from .common import Stored, as_bytes, blocks, buffers, needed, release
 
-_PIECES: dict[str, list[str]] = {}
+#: Bytes of text in a block.
+TEXT_BLOCK = 16 << 20
+#: Blocks are numbered from the task's partition << this.
+PARTITION_SHIFT = 32
+#: Words that the library encodes at once.
+WORDS_AT_ONCE = 20_000
 
+_SPLIT = "block long, doc_id array<long>, first array<int>, codes binary, words array<binary>"
 
-def pieces(path: str) -> list[str]:
-    """The vocabulary as a list from id to piece."""
-    if path not in _PIECES:
-        by_id = {i: w for w, i in bpe.encoder(path).tokenizer.get_vocab(with_added_tokens=True).items()}
-        _PIECES[path] = [by_id.get(i, "") for i in range(max(by_id) + 1)]
-    return _PIECES[path]
 
+def _split(docs: DataFrame) -> DataFrame:
+    """A row for each block: its documents, where each one's words begin, the codes of all words (compressed), and the distinct words."""
 
-class _Table:
-    """For the distinct words of a block: their ids and pieces as texts."""
-
-    def __init__(self, path: str, block: bpe.Words):
-        packed = bpe.encoder(path).look_up(block.words)
-        piece = pieces(path)
-        ids = [np.frombuffer(x, np.uint16).tolist() for x in packed]
-        self.lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids = [" ".join(map(str, x)) for x in ids]
-        self.pieces = [" ".join([piece[i] for i in x]) for x in ids]
-
-    def of(self, codes: np.ndarray) -> tuple[int, str, str]:
-        n = self.lens[codes]
-        some = codes[n > 0].tolist()
-        return int(n.sum()), " ".join([self.ids[k] for k in some]), " ".join([self.pieces[k] for k in some])
-
-
-def _map(docs: DataFrame, path: str, id_col: str, text_col: str, row, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(",")]
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 8 << 20):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << PARTITION_SHIFT
+        for block in blocks(batches, "text", TEXT_BLOCK):
             words = bpe.Words(*buffers(as_bytes(block.column("text"))))
-            by_word = _Table(path, words)
-            rows = [row(*by_word.of(words.codes[a:b])) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *(pa.array(list(x)) for x in zip(*rows, strict=True))], names=names)
-
-    ids = needed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return ids.mapInArrow(encode, schema)
+            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            codes = pa.compress(np.asarray(words.codes, "<i4").tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), one(block.column("doc_id").to_pylist(), pa.int64()), one(words.first, pa.int32()), pa.array([codes], pa.binary()), one(words.words, pa.binary())],
+                names=[x.split()[0] for x in _SPLIT.split(", ")],
+            )
+            number += 1
+
+    return docs.mapInArrow(of, _SPLIT)
+
+
+def _encoded(words: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids, ids_text) of distinct words."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = bpe.encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.column("word").slice(at, WORDS_AT_ONCE)
+                ids = [x.ids for x in library.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part.to_pylist()], add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part, pa.array(map(len, ids), pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(map(str, x)) for x in ids])], names=["word", "n", "ids", "ids_text"])
+
+    return words.mapInArrow(of, "word binary, n int, ids array<int>, ids_text string")
+
+
+def _decoded(encoded: DataFrame, path: str) -> DataFrame:
+    """(word, pieces_text) of encoded words that have ids, through the id-to-piece join."""
+    vocabulary = [(i, w) for w, i in bpe.load(path).get_vocab(with_added_tokens=True).items()]
+    # the vocabulary's size is fixed
+    pieces = F.broadcast(encoded.sparkSession.createDataFrame(vocabulary, "id int, piece string"))
+    joined = encoded.select("word", F.posexplode("ids").alias("place", "id")).join(pieces, "id")
+    ordered = F.sort_array(F.collect_list(F.struct("place", "piece"))).getField("piece")
+    return joined.groupBy("word").agg(F.array_join(ordered, " ").alias("pieces_text"))
+
+
+def _assembled(split: DataFrame, table: DataFrame, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
+    """Documents from blocks and their words' (block, code, n, ids_text, pieces_text)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = table.select("block", "code", "n", "ids_text", "pieces_text", none("array<long>").alias("doc_id"), none("array<int>").alias("first"), none("binary").alias("codes"))
+    # after its words, whose codes are smaller
+    last = split.select("block", F.lit((1 << 31) - 1).alias("code"), none("int").alias("n"), none("string").alias("ids_text"), none("string").alias("pieces_text"), "doc_id", "first", "codes")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = 0
+            for end in np.flatnonzero(np.asarray(batch.column("codes").is_valid())):
+                held.append(batch.slice(at, int(end) - at))
+                words = pa.Table.from_batches(held)
+                n = words.column("n").to_numpy()
+                ids, pieces = words.column("ids_text").to_pylist(), words.column("pieces_text").to_pylist()
+                codes = np.frombuffer(_unpacked(batch.column("codes")[int(end)].as_buffer()), "<i4")
+                first = batch.column("first")[int(end)].values.to_numpy()
+                some = n > 0
+                out = []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    mine = codes[a:b]
+                    full = mine[some[mine]].tolist() if b > a else []
+                    out.append(row(int(n[mine].sum()) if b > a else 0, " ".join([ids[k] for k in full]), " ".join([pieces[k] for k in full])))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[int(end)].values, *(pa.array(list(x)) for x in zip(*out, strict=True))], names=names)
+                held, at = [], int(end) + 1
+            held.append(batch.slice(at))
+
+    return rows.unionByName(last).repartition(F.col("block")).sortWithinPartitions("block", "code").mapInArrow(of, schema)
+
+
+def _unpacked(compressed: pa.Buffer) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(compressed)
+
+
+def _map(docs: DataFrame, path: str, id_col: str, text_col: str, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
+    spark = docs.sparkSession
+    store = Stored(spark, "words", {"compression": "zstd"})
+    split = store.put(_split(needed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))))
+    encoded = store.put(_encoded(split.select(F.explode("words").alias("word")).distinct(), path))
+    release(spark)
+    decoded = encoded.select("word", "n", "ids_text").join(_decoded(encoded, path), "word", "left")
+    known = store.put(decoded.withColumn("pieces_text", F.coalesce("pieces_text", F.lit(""))))
+    store.drop(1)
+    release(spark)
+    table = split.select("block", F.posexplode("words").alias("code", "word")).join(known, "word").drop("word")
+    return _assembled(split, table, row, schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
