@@ -7,12 +7,14 @@ the first table where it meets, so links are counted without listing pairs, and
 from each tile only a spanning forest of links is kept.  Components are found in
 Spark.  Bits follow the number of vectors (about ``BUCKET_ROWS`` to a bucket)
 and tables follow the bits, so that a pair at the threshold is missed in every
-table with probability 1 - ``RECALL`` at most.
+table with probability 1 - ``RECALL`` at most.  Beyond ``BUCKET_ROWS`` << ``MOST_BITS``
+vectors buckets grow, and their tiles compare them whole.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are kept; so do vectors of other lengths than
-the one they are compared with; repeated rows link with each other; further
-columns are ignored; an empty table gives an empty result.
+the one they are compared with; repeated rows link with each other; a null id
+never names a component: such a row has its group's smallest other id and isn't
+kept, or null and is; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,4 +159,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = found.select("k1", "k2", "vector", "id", F.coalesce("links", F.lit(0)).alias("links"), "weight", F.coalesce("component", "id").alias("component_id"))
     joined = rows.join(found, ["k1", "k2", "vector"], "left")
     n_links = F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0))
-    return joined.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
+    return joined.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.col("component_id").isNull()))

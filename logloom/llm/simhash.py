@@ -12,7 +12,9 @@ components are found in Spark.
 
 Defined results: null, empty and blank texts have fingerprint zero and are
 linked like any other; fewer words than a shingle make one shingle; repeated
-rows share a component; further columns are ignored; an empty table gives an
+rows share a component; a null id never names a component: such a row has its
+group's smallest other id or null; texts of any length are read whole, one block
+at most; further columns are ignored; an empty table gives an
 empty result.
 """
 
