@@ -359,6 +359,69 @@ def json_flat(raw: Column, parents: bool, levels: int = 4) -> Column:
     return F.when(ok, F.coalesce(_json_deep(F.when(ok & deep, t), parents), opened(top, levels)))
 
 
+def json_type(value: Column) -> Column:
+    """Tag of a JSON value's text, native types kept: a quoted number is a string."""
+    t = F.schema_of_variant(F.try_parse_json(value))
+    return (
+        F.when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(t == "BIGINT", "integer").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), F.when(t.endswith(",0)"), "integer").otherwise("float"))
+        .when(t == "STRING", "string").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "json")
+    )
+
+
+def flat_event(raw: Column) -> Column:
+    """Leaves (k, v, t) of a JSON event by dotted key with the tags of their types, without private and unknown parts.
+
+    Arrays are leaves; so are empty objects, which the flat form of an event drops.
+    """
+
+    @F.pandas_udf("array<struct<k:string,v:string,t:string>>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(_flat_typed)
+
+    return of(raw)
+
+
+def _tag(v) -> str:
+    for kind, name in ((_Number, "number"), (bool, "boolean"), (str, "string"), (_Object, "json"), (list, "array")):
+        if isinstance(v, kind):
+            return ("float" if set(v) & set(".eE") else "integer") if name == "number" else name
+    return "null"
+
+
+def _flat_typed(text: str | None) -> list[dict] | None:
+    try:
+        top = json.loads(text, object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number, parse_constant=_Number) if text is not None else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(top, _Object):
+        return None
+    out, todo = {}, [("", top)]
+    while todo:
+        prefix, members = todo.pop()
+        for k, v in members:
+            if k.startswith("_") or k == "unknown_fields":
+                continue
+            if isinstance(v, _Object):
+                todo.append((f"{prefix}{k}.", v))
+            else:
+                out[prefix + k] = {"k": prefix + k, "v": _json_text(v, True), "t": _tag(v)}
+    return list(out.values())
+
+
+def project(found: Column, fields: dict) -> Column:
+    """Entries of an event that is structured already: known keys under their canonical path, enums applied, all others as they are."""
+    keys = F.create_map(*(F.lit(x) for k, f in fields.items() for x in (k, f.get("map_to", k))))
+
+    def one(e: Column) -> Column:
+        v = e["v"]
+        for k, f in fields.items():
+            for raw, meaning in (f.get("enum") or {}).items():
+                v = F.when((e["k"] == k) & (e["v"] == raw), meaning).otherwise(v)
+        return F.struct(F.coalesce(F.try_element_at(keys, e["k"]), e["k"]).alias("k"), v.alias("v"))
+
+    return F.transform(found, one).cast(ENTRIES)
+
+
 FORMATS = ("CEF", "LEEF", "SYSLOG_RFC5424", "SYSLOG_RFC3164", "JSON", "KEY_VALUE", "TEXT")
 CONFIDENCE = {"CEF": 1.0, "LEEF": 1.0, "SYSLOG_RFC5424": 1.0, "SYSLOG_RFC3164": 0.95, "JSON": 1.0, "KEY_VALUE": 0.9, "TEXT": 0.5}
 

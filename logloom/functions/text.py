@@ -61,17 +61,17 @@ IPV6 = "^(?:" + "|".join([f"(?:{_HEX4}:){{7}}{_HEX4}", f"(?:{_HEX4}:){{1,7}}:",
 TYPES = (
     ("null", r"(?i)^(?:null|none|nil|n/a|na|-)$"),
     ("boolean", r"(?i)^(?:true|false|yes|no|on|off)$"),
-    ("integer", r"^[+-]?(?:0|[1-9][0-9]*)$"),
-    ("float", r"^[+-]?(?:[0-9]+\.[0-9]+|[0-9]+(?:\.[0-9]+)?[eE][+-]?[0-9]+)$"),
+    ("integer", r"^[+-]?(?:0|[1-9]\d*)$"),
+    ("float", r"^[+-]?(?:\d+\.\d+|\d+(?:\.\d+)?[eE][+-]?\d+)$"),
     ("mac_address", r"^(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}$"),
     ("ipv4", f"^{IPV4}$"),
     ("ipv6", IPV6),
     ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"),
     ("email", r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"),
     ("url", r"(?i)^(?:https?|ftp|sftp|ws|wss)://[^\s/$.?#].[^\s]*$"),
-    ("timestamp", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?$"),
-    ("timestamp", r"^[A-Z][a-z]{2}\s+[0-9]{1,2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?$"),
-    ("timestamp", r"^[0-9]{2}/[A-Za-z]{3}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2}\s+[+-][0-9]{4}$"),
+    ("timestamp", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?$"),
+    ("timestamp", r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?$"),
+    ("timestamp", r"^\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}\s+[+-]\d{4}$"),
 )
 
 
@@ -92,9 +92,9 @@ _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 MASKS = (
     (r"(?i)\b(?:https?|ftp|sftp)://[^\s]+", "<URL>"),
     (r"\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+\b", "<EMAIL>"),
-    (r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?\b", "<TIMESTAMP>"),
-    (rf"\b[0-9]{{2}}/{_MONTH}/[0-9]{{4}}:[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\s+[+-][0-9]{{4}}\b", "<TIMESTAMP>"),
-    (rf"\b{_MONTH}\s+[0-9]{{1,2}}\s+[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\b", "<TIMESTAMP>"),
+    (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "<TIMESTAMP>"),
+    (rf"\b\d{{2}}/{_MONTH}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}\s+[+-]\d{{4}}\b", "<TIMESTAMP>"),
+    (rf"\b{_MONTH}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}\b", "<TIMESTAMP>"),
     (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
     (r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b", "<MAC>"),
     (rf"\b{IPV4}\b", "<IP>"),
@@ -103,7 +103,7 @@ MASKS = (
     (r"(?:/[a-zA-Z0-9_.-]+){2,}", "<PATH>"),
     (r"\b0x[0-9a-fA-F]+\b|\b[0-9a-fA-F]{16,64}\b", "<HEX>"),
     (r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'""", '"<STR>"'),
-    (r"\b[0-9]+\.[0-9]+\b|\b[0-9]+\b", "<NUM>"),
+    (r"\b\d+\.\d+\b|\b\d+\b", "<NUM>"),
 )
 
 

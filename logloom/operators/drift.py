@@ -50,6 +50,49 @@ def enum_drift(vocabulary: DataFrame, current: DataFrame, field: str, value: str
     return current.join(known, [field, value], "left").agg(F.round(F.coalesce(F.avg(F.col("known").isNull().cast("double")), F.lit(0.0)), 4).alias("enum_drift"))
 
 
+def inverted(baseline: dict[str, str], candidate: dict[str, str]) -> bool:
+    """Whether the candidate gives a raw action another meaning."""
+    return any(candidate.get(raw) not in (None, "", meaning) for raw, meaning in baseline.items())
+
+
+def action_drift(baseline: dict[str, str], candidate: dict[str, str], events: DataFrame, action: str = "action") -> DataFrame:
+    """One row: 1 if a meaning is inverted, else the share of events whose action neither vocabulary knows."""
+    known = sorted({*baseline.values(), *candidate.values()})
+    unknown = F.coalesce((F.col(action) != "") & ~F.col(action).isin(*known), F.lit(False)) if known else F.lit(False)
+    share = F.coalesce(F.avg(unknown.cast("double")), F.lit(0.0)) if baseline else F.lit(0.0)
+    return events.agg(F.round(F.lit(1.0) if inverted(baseline, candidate) else share, 4).alias("enum_drift"))
+
+
+def parse_failure_rate(corrupted: Column, total: Column) -> Column:
+    return F.round(corrupted / F.greatest(total, F.lit(1)), 4)
+
+
+def _blocks() -> tuple[Column, Column]:
+    """Whether an event is a block, and whether it is one that still has an endpoint."""
+    text = lambda n: F.lower(F.coalesce(F.col(n), F.lit("")))
+    block = F.contains(text("action"), F.lit("deny")) | F.contains(text("action"), F.lit("block")) | F.contains(text("action"), F.lit("drop")) | F.contains(text("outcome"), F.lit("denied"))
+    return block, block & ((F.coalesce("src_ip", F.lit("")) != "") | (F.coalesce("dst_ip", F.lit("")) != ""))
+
+
+def _block_counts(events: DataFrame, side: str) -> DataFrame:
+    block, kept = _blocks()
+    return events.select(block.alias("b"), kept.alias("k")).agg(F.count_if("b").alias(f"{side}_expected"), F.count_if("k").alias(f"{side}_preserved"), F.lit(1).alias("_one"))
+
+
+def dps_regression(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """One row: by how much the candidate preserves fewer blocks, both as shares of what the baseline expected."""
+    both = _block_counts(baseline, "base").join(_block_counts(candidate, "cand"), "_one")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("base_expected")), F.lit(1.0))
+    return both.select(F.round(F.greatest(F.lit(0.0), share("base_preserved") - share("cand_preserved")), 4).alias("dps_regression"))
+
+
+def shadow_dps(active: DataFrame, candidate: DataFrame) -> DataFrame:
+    """One row: preservation score of each side by its own expectations, and their difference."""
+    both = _block_counts(active, "active").join(_block_counts(candidate, "candidate"), "_one")
+    dps = lambda s: F.round(F.coalesce(F.try_divide(F.col(f"{s}_preserved"), F.col(f"{s}_expected")), F.lit(1.0)), 4)
+    return both.select(dps("active").alias("active_dps"), dps("candidate").alias("candidate_dps")).withColumn("dps_delta", F.round(F.col("candidate_dps") - F.col("active_dps"), 4))
+
+
 def family(event_class: Column, action: Column, user: Column, http: Column, dns: Column, endpoint: Column) -> Column:
     """Event family: the class, else by action, user, and which parts are there."""
     a = F.coalesce(action, F.lit(""))

@@ -36,44 +36,45 @@ def kv_violation(text: Column, limits: Limits) -> Column:
     return F.when((long_at > 0) & (~many | (long_at <= limits.max_fields + 1)), "ERR_KEY_TOO_LONG").when(many, "ERR_FIELD_LIMIT_EXCEEDED")
 
 
-_TOKEN = re.compile(r'[\s,:]+|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|[{}\[\]]|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null')
+_TOKEN = re.compile(r'\s*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|[{}\[\],:]|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\s*')
+
+#: What may come next, by state: in an object a first key, a key, a colon, a value, the rest; in an array a first value, a value, the rest; between documents a value.
+_FIRST_KEY, _KEY, _COLON, _MEMBER, _AFTER_MEMBER, _FIRST_ITEM, _ITEM, _AFTER_ITEM, _TOP = range(9)
+_AFTER_VALUE = {_MEMBER: _AFTER_MEMBER, _FIRST_ITEM: _AFTER_ITEM, _ITEM: _AFTER_ITEM, _TOP: _TOP}
+_MARKS = {(_COLON, ":"): _MEMBER, (_AFTER_MEMBER, ","): _KEY, (_AFTER_ITEM, ","): _ITEM}
+_ENDS = {(_FIRST_KEY, "}"), (_AFTER_MEMBER, "}"), (_FIRST_ITEM, "]"), (_AFTER_ITEM, "]")}
 
 
 def _json_violation(text: str, limits: Limits) -> str | None:
-    """First violation in token order of one document."""
-    depth = fields = at = 0
-    opened: list[list] = []  # of each level: is it an object, is a key next
+    """First violation in token order of a text of JSON documents; what is missing at its end is none."""
+    states, fields, at = [_TOP], 0, 0
     while at < len(text):
         m = _TOKEN.match(text, at)
         if not m:
             return "ERR_INVALID_ENCODING"
-        at = m.end()
-        t = m[0]
-        if t[0] in ' \t\n\r,:':
-            continue
-        if opened and opened[-1][0] and opened[-1][1] and t[0] == '"':
+        at, t, state = m.end(), m[1], states[-1]
+        if (state, t) in _MARKS:
+            states[-1] = _MARKS[state, t]
+        elif (state, t) in _ENDS:
+            states.pop()
+            states[-1] = _AFTER_VALUE[states[-1]]
+        elif t[0] == '"' and state in (_FIRST_KEY, _KEY):
             fields += 1
             if len(json.loads(t)) > limits.max_key:
                 return "ERR_KEY_TOO_LONG"
             if fields > limits.max_fields:
                 return "ERR_FIELD_LIMIT_EXCEEDED"
-            opened[-1][1] = False
-            continue
-        if t in "{[":
-            depth += 1
-            if depth > limits.max_depth:
+            states[-1] = _COLON
+        elif state not in _AFTER_VALUE or t in "}],:":
+            return "ERR_INVALID_ENCODING"
+        elif t in "{[":
+            if len(states) > limits.max_depth:
                 return "ERR_NESTING_EXCEEDED"
-            opened.append([t == "{", True])
-            continue
-        if t in "}]":
-            if not opened or opened[-1][0] != (t == "}"):
+            states.append(_FIRST_KEY if t == "{" else _FIRST_ITEM)
+        else:
+            if t[0] in "-0123456789" and abs(float(t)) == float("inf"):
                 return "ERR_INVALID_ENCODING"
-            opened.pop()
-            depth -= 1
-        elif t[0] in "-0123456789" and abs(float(t)) == float("inf"):
-            return "ERR_INVALID_ENCODING"
-        if opened:
-            opened[-1][1] = True
+            states[-1] = _AFTER_VALUE[state]
     return None
 
 

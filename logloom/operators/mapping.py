@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,40 +13,58 @@ from pyspark.sql import functions as F
 AUTO, REVIEW = 0.95, 0.80
 SCHEMA = "place int, path string, types array<string>, critical boolean, families array<string>, aliases array<string>, transform string"
 
-# Event families and the canonical fields (path; types; critical; families; transform; aliases).
-N, P, A, D, W, S, G = FAMILIES = ("NETWORK_CONNECTION", "FIREWALL_POLICY", "AUTHENTICATION", "DNS_ACTIVITY", "WEB_SESSION", "SECURITY_ALERT", "GENERIC_NETWORK_EVENT")
+@dataclass(frozen=True)
+class Field:
+    """A canonical field."""
+
+    path: str
+    types: tuple[str, ...]
+    critical: bool
+    families: tuple[str, ...]
+    transform: str
+    aliases: tuple[str, ...]
+
+
+# Event families, canonical fields, and the paths that an assistant may propose.
+FAMILIES = ("NETWORK_CONNECTION", "FIREWALL_POLICY", "AUTHENTICATION", "DNS_ACTIVITY", "WEB_SESSION", "SECURITY_ALERT", "GENERIC_NETWORK_EVENT")
 FIELDS = (
-    ("src.ip", "ipv4 ipv6 ip", 1, (N, P, A, D, W, S, G), "parse_ip", "src src_ip source_ip srcip source_address s_ip source client_ip clientip c_ip src_addr sourceaddress initiator_ip sender_ip sourceipaddress"),
-    ("dst.ip", "ipv4 ipv6 ip", 1, (N, P, A, D, W, S, G), "parse_ip", "dst dst_ip destination_ip dest_ip destip destination_address d_ip destination server_ip serverip dst_addr destaddress target_ip responder_ip destinationipaddress"),
-    ("src.port", "integer", 1, (N, P, W, G), "to_integer", "spt src_port source_port srcport s_port sport client_port sourceport"),
-    ("dst.port", "integer", 1, (N, P, D, W, G), "to_integer", "dpt dst_port destination_port dest_port destport d_port dport server_port destinationport service_port"),
-    ("event.action", "string", 1, (N, P, A, S, G), "trim", "act action activity decision status_action disposition rule_action filter_action event_action"),
-    ("event.outcome", "string boolean", 1, (A, N, P, S), "trim", "outcome result status res success session_status auth_result login_status status_code_name"),
-    ("event.time", "timestamp integer float", 1, FAMILIES, "parse_timestamp", "timestamp time ts event_time datetime date_time occurred_at received_at eventtime generation_time log_time device_time"),
-    ("event.class", "string", 1, FAMILIES, "trim", "event_class class event_type type category cat device_event_class_id event_id signature_id"),
-    ("network.protocol", "string", 0, (N, P, G), "lowercase", "proto protocol transport network_proto app_proto ip_protocol proto_name"),
-    ("network.bytes_in", "integer", 0, (N, W, G), "to_integer", "bytes_in in_bytes bytes_rcvd rcvd_bytes inbytes bytes_received bytesin rcvdbyte rx_bytes"),
-    ("network.bytes_out", "integer", 0, (N, W, G), "to_integer", "bytes_out out_bytes bytes_sent sent_bytes outbytes bytes_transmitted bytesout sentbyte tx_bytes"),
-    ("network.packets", "integer", 0, (N, P, G), "to_integer", "packets pkts packet_count total_packets pkt_count"),
-    ("user.name", "string", 1, (A, W, S), "trim", "user username user_name account login usr actor account_name src_user source_username duser suser"),
-    ("user.id", "string integer", 1, (A, W), "trim", "uid user_id userid account_id actor_id"),
-    ("user.email", "email string", 0, (A, W), "lowercase", "email user_email mail user_mail sender_email"),
-    ("user.domain", "string", 0, (A,), "trim", "domain user_domain realm account_domain nt_domain"),
-    ("http.method", "string", 0, (W,), "uppercase", "method http_method request_method verb"),
-    ("http.status_code", "integer", 0, (W,), "to_integer", "status_code http_status http_code response_code resp_code statuscode"),
-    ("http.url", "url string", 0, (W, S), "trim", "url request_url uri request_uri path http_url"),
-    ("http.user_agent", "string", 0, (W,), "trim", "user_agent useragent agent http_user_agent cs_user_agent"),
-    ("dns.query_name", "string", 0, (D,), "lowercase", "query qname query_name dns_query question"),
-    ("dns.query_type", "string integer", 0, (D,), "uppercase", "qtype query_type record_type dns_type"),
-    ("dns.response_code", "string integer", 0, (D,), "trim", "rcode response_code dns_rcode"),
-    ("device.hostname", "string", 0, FAMILIES, "lowercase", "hostname host device_name device_hostname dhost shost devname node"),
-    ("device.ip", "ipv4 ipv6 ip", 0, FAMILIES, "parse_ip", "device_ip dev_ip dvc_ip sensor_ip agent_ip dvchost"),
+    Field("src.ip", types=("ipv4", "ipv6", "ip"), critical=True, families=FAMILIES, transform="parse_ip", aliases=("src", "src_ip", "source_ip", "srcip", "source_address", "s_ip", "source", "client_ip", "clientip", "c_ip", "src_addr", "sourceaddress", "initiator_ip", "sender_ip", "sourceipaddress")),
+    Field("dst.ip", types=("ipv4", "ipv6", "ip"), critical=True, families=FAMILIES, transform="parse_ip", aliases=("dst", "dst_ip", "destination_ip", "dest_ip", "destip", "destination_address", "d_ip", "destination", "server_ip", "serverip", "dst_addr", "destaddress", "target_ip", "responder_ip", "destinationipaddress")),
+    Field("src.port", types=("integer",), critical=True, families=("NETWORK_CONNECTION", "FIREWALL_POLICY", "WEB_SESSION", "GENERIC_NETWORK_EVENT"), transform="to_integer", aliases=("spt", "src_port", "source_port", "srcport", "s_port", "sport", "client_port", "sourceport")),
+    Field("dst.port", types=("integer",), critical=True, families=("NETWORK_CONNECTION", "FIREWALL_POLICY", "DNS_ACTIVITY", "WEB_SESSION", "GENERIC_NETWORK_EVENT"), transform="to_integer", aliases=("dpt", "dst_port", "destination_port", "dest_port", "destport", "d_port", "dport", "server_port", "destinationport", "service_port")),
+    Field("event.action", types=("string",), critical=True, families=("NETWORK_CONNECTION", "FIREWALL_POLICY", "AUTHENTICATION", "SECURITY_ALERT", "GENERIC_NETWORK_EVENT"), transform="trim", aliases=("act", "action", "activity", "decision", "status_action", "disposition", "rule_action", "filter_action", "event_action")),
+    Field("event.outcome", types=("string", "boolean"), critical=True, families=("AUTHENTICATION", "NETWORK_CONNECTION", "FIREWALL_POLICY", "SECURITY_ALERT"), transform="trim", aliases=("outcome", "result", "status", "res", "success", "session_status", "auth_result", "login_status", "status_code_name")),
+    Field("event.time", types=("timestamp", "integer", "float"), critical=True, families=FAMILIES, transform="parse_timestamp", aliases=("timestamp", "time", "ts", "event_time", "datetime", "date_time", "occurred_at", "received_at", "eventtime", "generation_time", "log_time", "device_time")),
+    Field("event.class", types=("string",), critical=True, families=FAMILIES, transform="trim", aliases=("event_class", "class", "event_type", "type", "category", "cat", "device_event_class_id", "event_id", "signature_id")),
+    Field("network.protocol", types=("string",), critical=False, families=("NETWORK_CONNECTION", "FIREWALL_POLICY", "GENERIC_NETWORK_EVENT"), transform="lowercase", aliases=("proto", "protocol", "transport", "network_proto", "app_proto", "ip_protocol", "proto_name")),
+    Field("network.bytes_in", types=("integer",), critical=False, families=("NETWORK_CONNECTION", "WEB_SESSION", "GENERIC_NETWORK_EVENT"), transform="to_integer", aliases=("bytes_in", "in_bytes", "bytes_rcvd", "rcvd_bytes", "inbytes", "bytes_received", "bytesin", "rcvdbyte", "rx_bytes")),
+    Field("network.bytes_out", types=("integer",), critical=False, families=("NETWORK_CONNECTION", "WEB_SESSION", "GENERIC_NETWORK_EVENT"), transform="to_integer", aliases=("bytes_out", "out_bytes", "bytes_sent", "sent_bytes", "outbytes", "bytes_transmitted", "bytesout", "sentbyte", "tx_bytes")),
+    Field("network.packets", types=("integer",), critical=False, families=("NETWORK_CONNECTION", "FIREWALL_POLICY", "GENERIC_NETWORK_EVENT"), transform="to_integer", aliases=("packets", "pkts", "packet_count", "total_packets", "pkt_count")),
+    Field("user.name", types=("string",), critical=True, families=("AUTHENTICATION", "WEB_SESSION", "SECURITY_ALERT"), transform="trim", aliases=("user", "username", "user_name", "account", "login", "usr", "actor", "account_name", "src_user", "source_username", "duser", "suser")),
+    Field("user.id", types=("string", "integer"), critical=True, families=("AUTHENTICATION", "WEB_SESSION"), transform="trim", aliases=("uid", "user_id", "userid", "account_id", "actor_id")),
+    Field("user.email", types=("email", "string"), critical=False, families=("AUTHENTICATION", "WEB_SESSION"), transform="lowercase", aliases=("email", "user_email", "mail", "user_mail", "sender_email")),
+    Field("user.domain", types=("string",), critical=False, families=("AUTHENTICATION",), transform="trim", aliases=("domain", "user_domain", "realm", "account_domain", "nt_domain")),
+    Field("http.method", types=("string",), critical=False, families=("WEB_SESSION",), transform="uppercase", aliases=("method", "http_method", "request_method", "verb")),
+    Field("http.status_code", types=("integer",), critical=False, families=("WEB_SESSION",), transform="to_integer", aliases=("status_code", "http_status", "http_code", "response_code", "resp_code", "statuscode")),
+    Field("http.url", types=("url", "string"), critical=False, families=("WEB_SESSION", "SECURITY_ALERT"), transform="trim", aliases=("url", "request_url", "uri", "request_uri", "path", "http_url")),
+    Field("http.user_agent", types=("string",), critical=False, families=("WEB_SESSION",), transform="trim", aliases=("user_agent", "useragent", "agent", "http_user_agent", "cs_user_agent")),
+    Field("dns.query_name", types=("string",), critical=False, families=("DNS_ACTIVITY",), transform="lowercase", aliases=("query", "qname", "query_name", "dns_query", "question")),
+    Field("dns.query_type", types=("string", "integer"), critical=False, families=("DNS_ACTIVITY",), transform="uppercase", aliases=("qtype", "query_type", "record_type", "dns_type")),
+    Field("dns.response_code", types=("string", "integer"), critical=False, families=("DNS_ACTIVITY",), transform="trim", aliases=("rcode", "response_code", "dns_rcode")),
+    Field("device.hostname", types=("string",), critical=False, families=FAMILIES, transform="lowercase", aliases=("hostname", "host", "device_name", "device_hostname", "dhost", "shost", "devname", "node")),
+    Field("device.ip", types=("ipv4", "ipv6", "ip"), critical=False, families=FAMILIES, transform="parse_ip", aliases=("device_ip", "dev_ip", "dvc_ip", "sensor_ip", "agent_ip", "dvchost")),
+)
+REGISTRY = (
+    "src.ip", "src.port", "src.mac", "src.host", "dst.ip", "dst.port", "dst.mac", "dst.host", "dest.ip", "dest.port", "dest.mac", "dest.host",
+    "event.action", "event.category", "event.outcome", "event.type", "user.name", "user.id", "user.domain", "user.email", "user.role",
+    "http.request.method", "http.request.url", "http.response.status_code", "process.name", "process.pid", "process.parent.pid", "process.command_line",
+    "network.protocol", "network.bytes_in", "network.bytes_out", "network.packets", "file.path", "file.name", "file.size", "file.hash.sha256",
 )
 
 
 def knowledge(spark: SparkSession) -> DataFrame:
     """The canonical fields, one row each: a table of fixed size."""
-    return spark.createDataFrame([(i, p, t.split(), bool(c), list(f), a.split(), x) for i, (p, t, c, f, x, a) in enumerate(FIELDS)], SCHEMA)
+    return spark.createDataFrame([(i, f.path, list(f.types), f.critical, list(f.families), list(f.aliases), f.transform) for i, f in enumerate(FIELDS)], SCHEMA)
 
 
 def normal(c):
@@ -79,7 +98,7 @@ def score_fields(profile: DataFrame, family: str | None = None, top: int = 3) ->
 
     @F.pandas_udf("array<double>")
     def lexical(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: [max(similarity(n.strip().lower(), x) for x in (p.split(".")[-1], *a.split())) for p, *_, a in FIELDS])
+        return names.map(lambda n: [max(similarity(n.strip().lower(), x) for x in (f.path.split(".")[-1], *f.aliases)) for f in FIELDS])
 
     sims = profile.withColumn("sims", lexical(F.col("field")))
     rows = sims.select("*", F.posexplode_outer("sims").alias("place", "sim")).join(F.broadcast(knowledge(spark)), "place")
@@ -118,7 +137,32 @@ def summary(chosen: DataFrame) -> DataFrame:
 
 
 def assist(field):
-    """The offline proposal: (path, score) as columns, null without one."""
+    """The offline proposal: (path, score) as columns, null without one or if the path isn't one that may be proposed."""
     low = F.lower(field)
     src, dst, act = F.contains(low, F.lit("src")) & F.contains(low, F.lit("ip")), F.contains(low, F.lit("dst")) | F.contains(low, F.lit("dest")), F.contains(low, F.lit("act"))
-    return F.when(src, "src.ip").when(dst, "dest.ip").when(act, "event.action"), F.when(src, 0.88).when(dst, 0.85).when(act, 0.9)
+    path = F.when(src, "src.ip").when(dst, "dest.ip").when(act, "event.action")
+    return registered(path), F.when(registered(path).isNotNull(), F.when(src, 0.88).when(dst, 0.85).when(act, 0.9))
+
+
+def registered(path):
+    """The path if it may be proposed, else null."""
+    return F.when(path.isin(*REGISTRY), path)
+
+
+def sanitized(text):
+    """Untrusted text for a prompt: backslashes and double quotes escaped, without NUL."""
+    out = F.coalesce(text, F.lit(""))
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\x00", "")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def well_formed(candidate) -> bool:
+    """Whether an assistant's answer has the structure asked for."""
+    if not isinstance(candidate, dict):
+        return False
+    kinds = {"candidate_id": str, "source_format": str, "mapped_fields": list, "unmapped_fields": list}
+    if not all(isinstance(candidate.get(k), kind) for k, kind in kinds.items()):
+        return False
+    wanted = {"raw_field", "canonical_field", "confidence", "reasoning"}
+    return all(isinstance(f, dict) and wanted <= f.keys() and isinstance(f["confidence"], (int, float)) for f in candidate["mapped_fields"])

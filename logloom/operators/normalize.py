@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parse import as_map, empty, entries, last_wins
 from ..functions.text import IPV6
 from ..functions.coerce import IPV4
 from ..plans.spec import column
@@ -21,7 +22,8 @@ FIELDS = {
 }
 INTEGERS = ("src_port", "dst_port", "http_status")
 ULID, UUID7 = r"^[0-7][0-9A-HJKMNP-TV-Z]{25}$", r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-OUTCOMES, QUALITY = ("success", "failure", "unknown"), ("VERIFIED", "REVIEW_REQUIRED", "PARTIAL")
+OUTCOMES, QUALITY = ("success", "failure", "unknown"), ("VERIFIED", "REVIEW_REQUIRED", "ABSTAINED")
+SEMVER, RFC3339 = r"^\d+\.\d+\.\d+$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 EMPTY_SHA, FALLBACK_ID = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "01J9A0K0P0Z3R3M5WQ6F7H8J9K"
 
 
@@ -34,8 +36,8 @@ def outcome_of(action: Column) -> Column:
     return F.when(has_any(a, "block", "deny", "drop", "fail"), "failure").when(has_any(a, "allow", "permit", "success", "login"), "success").otherwise("unknown")
 
 
-def normalize(parsed: DataFrame, source: str = "generic_source", is_cef: bool = False, time: str | None = None) -> DataFrame:
-    """Canonical events of parsed ones (columns x_<path>, unknown)."""
+def normalize(parsed: DataFrame, source: str = "generic_source", is_cef: bool = False, time: str | None = None, parser: dict | None = None) -> DataFrame:
+    """Canonical events of parsed ones (columns x_<path>, unknown); parser has the id and version of their specification."""
     have = set(parsed.columns)
     get = lambda *paths: F.coalesce(*(F.nullif(F.col(column(p)), F.lit("")) for p in paths if column(p) in have), F.lit(None).cast("string"))
     out = parsed
@@ -56,27 +58,68 @@ def normalize(parsed: DataFrame, source: str = "generic_source", is_cef: bool =
         .withColumn("event_time", F.coalesce(get("event.timestamp"), fallback, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
         .withColumn("vendor", F.coalesce(get("observer.vendor"), F.lit("unknown"))).withColumn("product", F.coalesce(get("observer.product"), F.lit(source)))
         .withColumn("device_id", F.coalesce(get("host.name"), F.lit(source))).withColumn("mapping_score", F.lit(0.98)).withColumn("quality_status", F.lit("VERIFIED"))
+        .withColumn("schema_version", F.lit("1.0")).withColumn("parser_id", F.lit((parser or {}).get("id", "generic_parser"))).withColumn("parser_version", F.lit((parser or {}).get("version", "1.0.0")))
+        .withColumn("extensions", as_map(F.coalesce("unknown", empty())))
     )
 
 
 def violations(c) -> Column:
     """Violations of a canonical event; c gives a column by name, or null for one that is not there."""
-    empty = lambda n: F.coalesce(F.trim(c(n)), F.lit("")) == ""
+    blank = lambda n: F.coalesce(F.trim(c(n)), F.lit("")) == ""
     bad_ip = lambda n: c(n).isNotNull() & ~c(n).rlike(f"^{IPV4}$") & ~c(n).rlike(IPV6)
     bad_port = lambda n: c(n).isNotNull() & ~c(n).between(0, 65535)
     checks = {
+        "schema_version is not 1.0": ~F.coalesce(c("schema_version") == "1.0", F.lit(False)),
         "event_id is not a ULID or UUIDv7": ~F.coalesce(c("event_id").rlike(ULID) | c("event_id").rlike(UUID7), F.lit(False)),
-        "event.class is empty": empty("event_class"), "event.action is empty": empty("action"),
+        "event.class is empty": blank("event_class"), "event.action is empty": blank("action"),
         "event.outcome is unknown to the schema": ~F.coalesce(c("outcome").isin(*OUTCOMES), F.lit(False)),
-        "event.time is empty": empty("event_time"), "source.vendor is empty": empty("vendor"), "source.product is empty": empty("product"),
+        "event.time is not RFC 3339": ~F.coalesce(c("event_time").rlike(RFC3339) & F.try_to_timestamp(c("event_time")).isNotNull(), F.lit(False)),
+        "source.vendor is empty": blank("vendor"), "source.product is empty": blank("product"), "source.device_id is empty": blank("device_id"),
         "src.ip is invalid": bad_ip("src_ip"), "dst.ip is invalid": bad_ip("dst_ip"), "src.port is out of range": bad_port("src_port"), "dst.port is out of range": bad_port("dst_port"),
-        "raw.sha256 is invalid": ~F.coalesce(c("raw_sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "raw.ref is empty": empty("raw_ref"),
+        "parser.id is empty": blank("parser_id"), "parser.version is no version": ~F.coalesce(c("parser_version").rlike(SEMVER), F.lit(False)),
+        "raw.sha256 is invalid": ~F.coalesce(c("raw_sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "raw.ref is empty": blank("raw_ref"),
         "quality.mapping_score is out of range": ~F.coalesce(c("mapping_score").between(0, 1), F.lit(False)),
         "quality.status is unknown to the schema": ~F.coalesce(c("quality_status").isin(*QUALITY), F.lit(False)),
+        "extensions are missing": c("extensions").isNull(),
     }
     return F.filter(F.array(*(F.when(bad, F.lit(what)) for what, bad in checks.items())), lambda x: x.isNotNull())
 
 
+def _event_column(name: str) -> Column:
+    return F.col("envelope_id" if name == "event_id" else name)
+
+
+def judged(events: DataFrame) -> DataFrame:
+    """Sealed canonical events with their violations."""
+    return events.withColumn("violations", violations(_event_column))
+
+
+def admitted(events: DataFrame) -> DataFrame:
+    """The events that exporters take: those without violations."""
+    return judged(events).where(F.size("violations") == 0).drop("violations")
+
+
+def refused(events: DataFrame) -> DataFrame:
+    """The others, with their violations."""
+    return judged(events).where(F.size("violations") > 0)
+
+
+def to_json(events: DataFrame) -> DataFrame:
+    """(value) one JSON document for each canonical event."""
+    return events.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def from_json(documents: DataFrame, schema, value: str = "value") -> DataFrame:
+    """Canonical events of documents with their violations; a malformed document has only those."""
+    return judged(documents.select(F.from_json(F.col(value), schema).alias("e")).select("e.*"))
+
+
+def _provenance(events: DataFrame, *names: str, more: tuple = ()) -> Column:
+    """Provenance and further entries as a map; the source's own extensions win over both."""
+    have = [(n, F.col(n)) for n in names if n in events.columns]
+    return F.map_from_entries(last_wins(F.concat(entries(*have, *more), F.coalesce(F.map_entries("extensions"), F.array()).cast("array<struct<k:string,v:string>>"))))
+
+
 def ecs_category(event_class: Column) -> Column:
     u = F.upper(event_class)
     out = F.lit("configuration")
@@ -107,7 +150,8 @@ def to_ecs(events: DataFrame) -> DataFrame:
         some(("ip", c("src_ip")), ("port", c("src_port"))).alias("source"), some(("ip", c("dst_ip")), ("port", c("dst_port"))).alias("destination"),
         some(("transport", F.lower("protocol"))).alias("network"), some(("name", c("user_name"))).alias("user"), some(("hostname", c("hostname"))).alias("host"),
         F.when(c("http_method").isNotNull() | c("http_status").isNotNull(), F.struct(F.struct(c("http_method").alias("method")).alias("request"), F.struct(c("http_status").alias("status_code")).alias("response"))).alias("http"),
-        some(("original", c("url"))).alias("url"), F.struct(c("vendor"), c("product")).alias("observer"),
+        some(("original", c("url"))).alias("url"), F.struct(c("vendor"), c("product"), c("device_id").alias("name")).alias("observer"),
+        _provenance(events, "raw_ref", "raw_sha256", "parser_id", "parser_version", "quality_status").alias("labels"),
     )
 
 
@@ -141,4 +185,5 @@ def to_ocsf(events: DataFrame) -> DataFrame:
         "class_uid", "category_uid", "activity_id", (c("class_uid") * 100 + c("activity_id")).alias("type_uid"), F.unix_millis(F.to_timestamp("event_time")).alias("time"),
         status.alias("status_id"), name.alias("status"), some(("ip", c("src_ip")), ("port", c("src_port"))).alias("src_endpoint"), some(("ip", c("dst_ip")), ("port", c("dst_port"))).alias("dst_endpoint"),
         some(("protocol_name", F.upper("protocol"))).alias("connection_info"), some(("name", c("user_name"))).alias("actor_user"), F.struct(F.lit("1.1.0").alias("version"), c("vendor").alias("vendor_name"), c("product").alias("product_name")).alias("metadata"),
+        _provenance(events, "raw_ref", "raw_sha256", "parser_id", "quality_status", more=(("dns", F.when(c("query_name").isNotNull() | c("query_type").isNotNull(), F.to_json(F.struct("query_name", "query_type", "response_code")))),)).alias("unmapped"),
     )

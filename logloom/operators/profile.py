@@ -62,7 +62,7 @@ def format_vote(lines: DataFrame, raw: str = "raw", order: str = "line") -> Data
 
 def csv_delimiter(lines: DataFrame, raw: str = "raw", order: str = "line", sample: int = 50) -> DataFrame:
     """(delimiter, rows, columns) of those that split the first lines evenly, in order of preference."""
-    some = lines.orderBy(order).limit(sample).select(raw)
+    some = lines.orderBy(order).limit(sample).select(raw).where(~(F.col(raw).startswith("CEF:") | F.col(raw).startswith("LEEF:") | F.col(raw).startswith("<")))
     marks = [",", "\t", "|", ";"]
     widths = some.select(F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(d).alias("delimiter"), F.size(parse.csv_record(F.col(raw), d)).alias("width")) for i, d in enumerate(marks)))).alias("x")).select("x.*").where("width > 1")
     by_width = widths.groupBy("place", "delimiter", "width").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parse
+
 CRITICAL = ("src_ip", "dst_ip", "src_port", "dst_port", "action", "outcome", "user_name")
 
 
@@ -15,14 +17,33 @@ def field_pairs(active: DataFrame, candidate: DataFrame, key: str, fields: list[
     return joined.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"a.{f}").alias("a"), F.col(f"c.{f}").alias("c")) for f in fields))).alias("x")).select(key, "x.*")
 
 
-def kind(a: Column, c: Column) -> Column:
-    return F.when(a.isNull() & c.isNotNull(), "NEW_FIELD_IN_CANDIDATE").when(c.isNull(), "FIELD_MISSING_IN_CANDIDATE").when(a != c, "VALUE_MISMATCH")
+def kind(a: Column, c: Column, type_a: Column | None = None, type_c: Column | None = None) -> Column:
+    """How a field differs; with types, values of different types are told from others."""
+    out = F.when(a.isNull() & c.isNotNull(), "NEW_FIELD_IN_CANDIDATE").when(c.isNull(), "FIELD_MISSING_IN_CANDIDATE")
+    if type_a is not None:
+        out = out.when(type_a != type_c, "TYPE_MISMATCH")
+    return out.when(a != c, "VALUE_MISMATCH")
+
+
+def isolated(bus: DataFrame, flag: Column) -> DataFrame:
+    """One row: whether no event on the bus is a shadow's."""
+    return bus.agg((F.count_if(F.coalesce(flag, F.lit(False))) == 0).alias("isolated"))
+
+
+def flat_pairs(active: DataFrame, candidate: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, field, a, c, type_a, type_c) of JSON events (key, document) that both have, flattened at run time."""
+    side = lambda d, n: d.select(key, F.explode(parse.flat_event(F.col(document))).alias("e")).select(key, F.col("e.k").alias("field"), F.col("e.v").alias(n), F.col("e.t").alias(f"type_{n}"))
+    shared = active.select(key).join(candidate.select(key), key, "left_semi")
+    keep = lambda d: d.join(shared, key, "left_semi")
+    return side(keep(active), "a").join(side(keep(candidate), "c"), [key, "field"], "full_outer")
 
 
 def divergences(pairs: DataFrame, key: str) -> DataFrame:
     """(field, compared, matched, first_kind) of each field; first_kind is of the first event that differs."""
-    some = pairs.where("a is not null or c is not null").withColumn("kind", kind(F.col("a"), F.col("c")))
-    return some.groupBy("field").agg(F.count_if(F.col("a").isNotNull()).alias("compared"), F.count_if(F.col("a") == F.col("c")).alias("matched"), F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col(key))).alias("first_kind"))
+    types = (F.col("type_a"), F.col("type_c")) if "type_a" in pairs.columns else ()
+    same = (F.col("a") == F.col("c")) & (types[0] == types[1] if types else F.lit(True))
+    some = pairs.where("a is not null or c is not null").withColumn("kind", kind(F.col("a"), F.col("c"), *types))
+    return some.groupBy("field").agg(F.count_if(F.col("a").isNotNull()).alias("compared"), F.count_if(same).alias("matched"), F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col(key))).alias("first_kind"))
 
 
 def match_rate(pairs: DataFrame) -> DataFrame:
@@ -51,19 +72,53 @@ def verdict(isolated: Column, dps_delta: Column, critical: Column, kept: Column,
     return F.when(failed, "FAILED").when(suspected, "SUSPECTED").otherwise("PASSED")
 
 
+#: Rows that are ordered in one task at most.
+FEW = 10_000
+
+
+def ranked(samples: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """The samples of these ranks from 0, exactly, of numbers that are not null.
+
+    Approximate percentiles bracket a rank; what lies between them is kept, until
+    few distinct values are left to count in order.
+    """
+    out = []
+    for rank in ranks:
+        rows, at, slack = samples.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), rank, 1e-3
+        while (n := rows.count()) > FEW:
+            share = (at + 0.5) / n
+            low, high = rows.select(F.percentile_approx("v", F.array(F.lit(max(share - slack, 0.0)), F.lit(min(share + slack, 1.0))), F.lit(10_000))).first()[0]
+            below, upto = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).first()
+            if not below <= at < upto:
+                slack *= 4
+                continue
+            if low == high or upto - below == n:
+                break
+            rows, at = rows.where(F.col("v").between(low, high)), at - below
+        counts = rows.groupBy("v").agg(F.count("*").alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
+        out.append(low if n > FEW and low == high else upto.where(F.col("upto") > at).agg(F.min("v")).first()[0])
+    return out
+
+
 def p95_rank(samples: DataFrame, value: str) -> DataFrame:
-    """The sample of rank floor(0.95 n) from 0, by a distributed sort's ranks: no list of all samples is built."""
-    counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    upto = counts.withColumn("upto", F.sum("k").over(Window.orderBy("v")))
-    n = samples.agg(F.count(value)).scalar()
-    hit = upto.where(F.col("upto") > F.least(F.floor(n * 0.95), n - 1))
-    return hit.agg(F.min("v").alias("p95"))
+    """One row: the sample of rank floor(0.95 n) from 0."""
+    n = samples.where(F.col(value).isNotNull()).count()
+    p95 = ranked(samples, value, [min(n * 95 // 100, n - 1)])[0] if n else None
+    return samples.sparkSession.createDataFrame([(p95,)], "p95 double")
 
 
 def latency(samples: DataFrame, value: str) -> DataFrame:
-    """Interpolated percentiles and extremes, rounded as reports have them."""
-    p = lambda x: F.round(F.percentile(value, F.lit(x)), 4)
-    return samples.agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    """One row: interpolated percentiles and extremes, rounded as reports have them."""
+    n = samples.where(F.col(value).isNotNull()).count()
+    spark, places = samples.sparkSession, [(n - 1) * p for p in (0.5, 0.9, 0.99)]
+    ends = sorted({int(x) for x in places} | {min(int(x) + 1, n - 1) for x in places}) if n else []
+    got = dict(zip(ends, ranked(samples, value, ends), strict=True))
+    between = [got[int(x)] + (got[min(int(x) + 1, n - 1)] - got[int(x)]) * (x - int(x)) if n else None for x in places]
+    points = spark.createDataFrame([tuple(between)], "p50 double, p90 double, p99 double").select(*(F.round(c, 4).alias(c) for c in ("p50", "p90", "p99")))
+    rest = samples.agg(F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    side = lambda df: df.withColumn("_one", F.lit(1))
+    return side(points).join(side(rest), "_one").drop("_one")
 
 
 def validation(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -91,6 +91,19 @@ def generate(source: str, kind: str, mapping: dict[str, str]) -> dict[str, Any]:
     }
 
 
+def emitted(target: str, source: str, kind: str, mapping: dict[str, str]) -> str:
+    """A mapping of raw fields to canonical paths as text: a specification, SQL over a table of raw fields, a remap program, or JSON."""
+    if target == "spec":
+        return json.dumps(generate(source, kind, mapping), indent=2)
+    if target == "sql":
+        return "SELECT " + ", ".join(f"`{raw}` AS `{path}`" for raw, path in mapping.items()) + f" FROM `{source}`"
+    if target == "remap":
+        return "\n".join(f".{path} = delete(.{raw})" for raw, path in mapping.items())
+    if target == "json":
+        return json.dumps(mapping, indent=2)
+    raise ValueError(f"unknown target {target}")
+
+
 def matches(spec: dict, raw: Column) -> Column:
     """Whether a line is one for this specification."""
     t = parse.trim_space(raw)
@@ -169,11 +182,11 @@ def apply(events: DataFrame, spec: dict, raw: str = "raw", year: int = 2024) ->
         by_path.setdefault(field["map_to"], []).append(value)
         errors.append(F.when(failed, F.lit(f'field "{name}" type conversion error')))
         located = F.lit(True) if kind in ("json", "csv") else F.contains(low, F.lit(name.lower())) | F.contains(low, F.lower(value))
-        evidence = F.when(located, F.array(F.lit("exact_key_match"), F.lit("type_match"))).otherwise(F.array(F.lit("type_match")))
+        evidence = F.array(F.lit("alias_match"), F.lit("type_match"), F.lit("event_family_context"))
         locator = F.lit("/" + name.replace(".", "/")) if kind == "json" else F.lit(name)
         approved = [o for o in field.get("transformations") or () if o in OPERATIONS]
         lineage.append(
-            F.when(value.isNotNull(), F.struct(
+            F.when(value.isNotNull() & located, F.struct(
                 F.lit(field["map_to"]).alias("normalized_path"), F.lit("json_pointer" if kind == "json" else "key").alias("locator_type"), locator.alias("locator_value"), F.lit(extractor(kind)).alias("extractor"),
                 F.array(*map(F.lit, approved)).cast("array<string>").alias("transformations"), F.lit(1.0).alias("mapping_score"), evidence.alias("mapping_evidence"), F.lit("AUTO_ACCEPTED").alias("review_status"),
             ))

@@ -47,7 +47,34 @@ def route_to(stream: DataFrame, paths: dict[str, str], checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run to the end of what is there and return the result as a table in memory."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run an appending stream to the end of what is there and return what it wrote, as Parquet under the folder."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def drain_totals(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """As drain() for running totals: each batch's changed rows are kept, and the last of each key counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/_batch_number={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{folder}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "_batch").alias(c) for c in values)).select(*stream.columns)
+
+
+def ring(stream: DataFrame, order: str, folder: str, n: int = 5000) -> DataFrame:
+    """The latest n events of a stream: each batch keeps the n latest of itself and the ring so far, one version after the other."""
+    spark, last = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+        path = f"{folder}/ring/{number}"
+        held.unionByName(batch).orderBy(F.desc(order)).limit(n).write.mode("overwrite").parquet(path)
+        last.append(path)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)

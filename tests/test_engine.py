@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from logloom.functions import coerce, parse
 from logloom.functions import text as tx
-from logloom.operators import drift, firewall, mapping, normalize, rules, shadow
+from logloom.operators import drift, firewall, lifecycle, mapping, normalize, rules, shadow, source_profile
+from logloom.plans import golden
 from logloom.plans import spec as sp
 from logloom.queries import KV_SPEC
+from logloom.sources import logs
+from logloom.streaming import live
 
 
 def one(spark, raw, make):
@@ -92,6 +95,7 @@ def test_json_flat_in_python_is_as_in_columns(spark):
         ("[" * 32 + "]" * 32, {}, None), ("[" * 33 + "]" * 33, {}, "ERR_NESTING_EXCEEDED"),
         (json.dumps({"k" * 256: 1}), {}, None), (json.dumps({"k" * 257: 1}), {}, "ERR_KEY_TOO_LONG"),
         (json.dumps({f"k{i}": 1 for i in range(512)}), {}, None), (json.dumps({f"k{i}": 1 for i in range(513)}), {}, "ERR_FIELD_LIMIT_EXCEEDED"),
+        ("[,,:]", {}, "ERR_INVALID_ENCODING"), ('{"a" 1 2}', {}, "ERR_INVALID_ENCODING"), ('{"a":[1,]}', {}, "ERR_INVALID_ENCODING"), ('{"a":{}} {"b":[]}', {}, None), ('{"a":1', {}, None),
         ('{"a": nope}', {}, "ERR_INVALID_ENCODING"), ('{"a": 1e999}', {}, "ERR_INVALID_ENCODING"), ("k" * 257 + "=1", {}, "ERR_KEY_TOO_LONG"),
     ],
 )
@@ -200,3 +204,118 @@ def test_p95_rank(spark):
 def test_ulid(spark):
     r = spark.range(1).select(tx.ulid(F.lit(1700000000000), F.lit("x")).alias("u")).first()["u"]
     assert len(r) == 26 and r.startswith("01HF7YAT00")
+
+
+def test_ranked_without_few(spark, monkeypatch):
+    """Exact ranks though only brackets of them are ordered; ties, too."""
+    monkeypatch.setattr(shadow, "FEW", 50)
+    values = [float(x) for x in [*range(3000), *[7] * 500, *[2999] * 40]]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    ranks = [0, 5, 300, 1700, len(values) - 1]
+    assert shadow.ranked(df, "v", ranks) == [sorted(values)[r] for r in ranks]
+    assert shadow.latency(df.limit(0), "v").first()["p50"] is None and shadow.p95_rank(df.limit(0), "v").first()["p95"] is None
+
+
+def test_placed(spark):
+    df = spark.createDataFrame([(float(x % 97), x) for x in range(500)], "t double, x long").repartition(5)
+    rows = logs.placed(df, "t").orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(500)) and [r["t"] for r in rows] == sorted(float(x % 97) for x in range(500))
+
+
+def test_paced_stream(spark, tmp_path):
+    stream = logs.paced(spark, 50, "cef").select("line", "raw")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/state").start()
+    query.awaitTermination(6)
+    query.stop()
+    got = spark.read.parquet(f"{tmp_path}/rows").orderBy("line").collect()
+    want = {r["line"]: r["raw"] for r in logs.load(spark, 2000, "cef").collect()}
+    assert got and all(want[r["line"]] == r["raw"] for r in got)
+
+
+def test_sinks(spark, tmp_path):
+    e = spark.createDataFrame([("t", "A", "1.1.1.1"), ("u", "B", None)], "event_time string, event_class string, src_ip string")
+    logs.sink(e, "csv", f"{tmp_path}/c", limit=1)
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/c")
+    assert rows.columns == list(logs.CSV_COLUMNS) and rows.count() == 1
+    with pytest.raises(ValueError):
+        logs.sink(e, "xml", f"{tmp_path}/x")
+    logs.snapshot(e, "event_time", f"{tmp_path}/ring", 1)
+    assert [json.loads(r["value"])["event_time"] for r in spark.read.text(f"{tmp_path}/ring").collect()] == ["u"]
+
+
+def test_live_profile_of_text_files(spark, tmp_path):
+    """Lines arrive in files; each batch is profiled like a source."""
+    spark.createDataFrame([("a=1 b=2 c=x",), ("a=2 b=3 c=y",), ("  ",)], "value string").write.text(f"{tmp_path}/in")
+    lines = spark.readStream.text(f"{tmp_path}/in").select(F.col("value").alias("raw"))
+    seen = []
+
+    def profile(batch, _):
+        clean = source_profile.nonblank(batch.withColumn("line", F.monotonically_increasing_id()))
+        found = source_profile.detect(clean)
+        seen.append((found.name, {r["field"] for r in source_profile.field_profile(source_profile.records(clean, found)).collect()}))
+
+    lines.writeStream.foreachBatch(profile).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [("KEY_VALUE", {"a", "b", "c"})]
+    (tmp_path / "none").mkdir()
+    assert live.read(spark, f"{tmp_path}/none", "a int").isStreaming
+
+
+def test_source_without_lines(spark):
+    lines = spark.createDataFrame([], "line long, raw string")
+    found = source_profile.detect(lines)
+    assert (found.name, found.confidence) == ("UNKNOWN", 0.0)
+
+
+def test_csv_without_header(spark):
+    lines = spark.createDataFrame([(i, f"{i},x{i},10.0.0.{i}") for i in range(9)], "line long, raw string")
+    found = source_profile.detect(lines)
+    assert (found.name, found.delimiter, found.headers) == ("CSV", ",", None)
+    assert pairs(source_profile.records(lines, found).orderBy("line").first()["fields"]) == {"column_1": "0", "column_2": "x0", "column_3": "10.0.0.0"}
+
+
+def test_golden(spark, tmp_path):
+    (tmp_path / "raw").mkdir(), (tmp_path / "expected").mkdir(), (tmp_path / "parser").mkdir()
+    with pytest.raises(FileNotFoundError):
+        golden.load(str(tmp_path))
+    (tmp_path / "metadata.json").write_text('{"min_extraction_accuracy": 0.9}')
+    (tmp_path / "raw/events.raw").write_text("src=1.2.3.4 action=permit own=1\n")
+    (tmp_path / "expected/events.json").write_text('{"extracted": {"src.ip": "1.2.3.4", "event.action": "allow"}, "unknown_fields": {"own": "1"}}')
+    (tmp_path / "parser/parser_spec.json").write_text(json.dumps(KV_SPEC))
+    fixture = golden.load(str(tmp_path))
+    r = golden.validate(spark, fixture).first()
+    assert (r["expected"], r["extraction_accuracy"], r["semantic_accuracy"], r["unknown_retention"], r["passed"]) == (2, 1.0, 1.0, 1.0, True)
+    fixture["expected"]["extracted"]["src.ip"] = "9.9.9.9"
+    assert golden.validate(spark, fixture).first()["passed"] is False
+    assert {r["k"]: r["v"] for r in golden.entries_of(spark, fixture).collect()}["own"] == "1"
+
+
+def test_emitters_and_generation():
+    mapping_of = {"s": "src.ip", "st": "http.response.status_code"}
+    own = json.loads(sp.emitted("spec", "gate", "key_value", mapping_of))
+    assert sp.violations(own) == [] and own["fields"]["st"]["type"] == "integer" and own["fields"]["s"]["type"] == "ip"
+    assert sp.emitted("sql", "gate", "key_value", mapping_of) == "SELECT `s` AS `src.ip`, `st` AS `http.response.status_code` FROM `gate`"
+    assert sp.emitted("remap", "g", "json", {"a": "b.c"}) == ".b.c = delete(.a)" and json.loads(sp.emitted("json", "g", "json", mapping_of)) == mapping_of
+    with pytest.raises(ValueError):
+        sp.emitted("cobol", "g", "json", {})
+
+
+def test_schema_gate(spark):
+    assert lifecycle.schema_gate([])[0] is False and lifecycle.schema_gate({"parser": {"id": "x"}})[0] is False and lifecycle.schema_gate(KV_SPEC)[0] is True
+    samples = spark.createDataFrame([(1, "src=1.1.1.1")], "event_id long, raw string")
+    r = lifecycle.repair(samples, KV_SPEC, {"parser": {}}, "event_id").first()
+    assert r["decision"] == "REJECTED" and r["shadow_state"] == "FAILED" and lifecycle.candidate_hash({}).startswith("sha256-")
+
+
+def test_assistant_answers():
+    good = {"candidate_id": "c", "source_format": "f", "mapped_fields": [{"raw_field": "a", "canonical_field": "b", "confidence": 1, "reasoning": ""}], "unmapped_fields": []}
+    assert mapping.well_formed(good) and not mapping.well_formed([]) and not mapping.well_formed({**good, "mapped_fields": [{"raw_field": "a"}]}) and not mapping.well_formed({**good, "candidate_id": 1})
+
+
+def test_enum_inversion():
+    assert drift.inverted({"deny": "deny"}, {"deny": "allow"}) and not drift.inverted({"deny": "deny"}, {}) and not drift.inverted({}, {"a": "b"})
+
+
+def test_onboarding_asks_for_review(spark):
+    rows = [(i, f"src=10.0.0.{i} dest_thing=x{i}") for i in range(5)]
+    got = {r["field"]: r for r in lifecycle.onboard(spark.createDataFrame(rows, "line long, raw string")).collect()}
+    assert got["src"]["path"] == "src.ip" and got["dest_thing"]["package_status"] == "READY_FOR_REVIEW"

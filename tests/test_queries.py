@@ -12,8 +12,6 @@ import __spark_entry__ as entry
 from logloom.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-#: Those that start streams or scan all pairs of names; they run in the driver's check.
-SLOW = {"map_fields_scored", "map_fields_summary"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def plain(v):
     return ("nan" if math.isnan(v) else round(v, 9)) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, duck, name):
     df = QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
@@ -64,3 +62,11 @@ def test_coerce_timestamp_has_every_order(spark, duck):
         r = got[key]
         assert {r["iso"], r["blank"], r["epoch"], r["millis"]} == {text}
         assert r["yearless"] == f"2023-{'03-01' if day == '02-29' else day}{text[10:]}"
+
+
+def test_queries_without_sql(spark):
+    """Scores have none: the first of each field's three candidates are those that the best-mapping query has."""
+    assert set(QUERIES) - set(ORACLES) == {"map_fields_scored"}
+    scored = QUERIES["map_fields_scored"](spark, DIR).collect()
+    best = {r["field"]: r["path"] for r in QUERIES["map_fields_best"](spark, DIR).collect()}
+    assert {r["field"]: r["path"] for r in scored if r["rank"] == 1} == best and all(0 <= r["score"] <= 1 for r in scored) and len(scored) == 3 * len(best)
