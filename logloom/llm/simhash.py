@@ -21,6 +21,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -198,13 +199,42 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("common") >= SIMILARITY * (F.size("a_set") + F.size("b_set") - F.col("common")) - 1e-9).select("a", "b")
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9
+
+
+def _joined(fp: np.ndarray, open_: np.ndarray, group: np.ndarray, shingles: np.ndarray, tile: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similar rows of a tile or a pair of tiles, as few as connect them; rows of one group are connected already."""
+    _, up = np.unique(group, return_inverse=True)
+    up = up.tolist()
+    heads = list(range(max(up) + 1))
+
+    def top(x: int) -> int:
+        while heads[x] != x:
+            heads[x] = x = heads[heads[x]]
+        return x
+
+    size = np.fromiter(map(len, shingles), np.int64, len(shingles))
+    out = []
+    for i, j in _near(fp.view(np.uint64), tile, same, radius):
+        may = ((open_[i] | open_[j]) > 0) & (i != j) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9)
+        for x, y in zip(i[may].tolist(), j[may].tolist(), strict=True):
+            a, b = top(up[x]), top(up[y])
+            if a != b and _similar(shingles[x], shingles[y]):
+                heads[a] = b
+                out.append((x, y))
+    return tuple(np.array([x[k] for x in out], np.int64) for k in (0, 1))
+
+
 def similar_links(store: Stored, rows: DataFrame, units: DataFrame, width: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
     """(a, b): links between units (id, k, fp, least) of similar shingle sets that connect all that are similar.
 
     rows are (k, text).  Fingerprints within the radius link units of a tile; the
     exact similarity decides.  First each unit meets the first of its group of
-    linked fingerprints; then those that aren't similar to it meet all others of
-    their tiles, so a large group of copies never becomes all its pairs.
+    linked fingerprints.  The tiles of those that aren't similar to it are then
+    compared again with the sets at hand, and only what connects is handed on, so
+    a group never becomes all its pairs.
     """
     table = F.posexplode("least").alias("table", "value")
     keyed = store.put(units.where("size(least) > 0").select("id", "fp", table).select("id", "fp", F.xxhash64("table", "value").alias("key")))
@@ -213,18 +243,14 @@ def similar_links(store: Stored, rows: DataFrame, units: DataFrame, width: int =
     # rows of one key have one text
     sets = store.put(_shingles(texts, width).dropDuplicates(["id"]))
     stars = store.put(_verified(groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), sets))
-    open_rows = groups.join(stars, F.col("node") == F.col("a"), "left_anti").select(F.col("node").alias("id"), F.lit(1).alias("open"))
-    marked = keyed.join(open_rows, "id", "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    judged = groups.join(stars.select(F.col("a").alias("node"), F.lit(True).alias("star")), "node", "left").withColumn("open", F.when(F.col("star") | (F.col("node") == F.col("component")), 0).otherwise(1))
+    judged = judged.select(F.col("node").alias("id"), "open", F.when(F.col("open") == 1, F.col("node")).otherwise(F.col("component")).alias("group"))
+    marked = keyed.join(judged, "id")
     # only keys with an open row and another one can add links
     useful = marked.groupBy("key").agg(F.sum("open").alias("n_open"), F.count("*").alias("n")).where("n_open > 0 AND n > 1").select("key")
-
-    def work(fp: np.ndarray, open_: np.ndarray, tile: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        found = [(i[take], j[take]) for i, j in _near(fp.view(np.uint64), tile, same, radius) if (take := ((open_[i] | open_[j]) > 0) & (i != j)).any()]
-        return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-
-    pairs = tiles.compared(_dealt(marked.join(useful, "key", "left_semi"), radius), ["fp", "open"], work)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return stars.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), sets))
+    again = marked.join(useful, "key", "left_semi").join(sets, "id")
+    found = tiles.compared(_dealt(again, radius), ["fp", "open", "group", "shingles"], partial(_joined, radius=radius))
+    return stars.unionByName(found)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
