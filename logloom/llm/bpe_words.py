@@ -1,15 +1,15 @@
 """Encoding and decoding with a distinct-word table.
 
 1. Tasks split their texts into words.  A block of texts keeps, for each word in
-   turn, its code among the block's distinct words; block and distinct words are
+   turn, its code among the block's distinct words; codes and distinct words are
    written once.
 2. All blocks' words make one table of distinct words in Spark, and the tokenizer
    library encodes each of them once.
-3. Decoding is a join of the ids with the vocabulary's table from id to piece,
-   which has a fixed size; a word's pieces are put back in order.
-4. Ids and pieces are joined back to the blocks by word, and within its block each
-   code takes them to its positions: what is shuffled is a row for each distinct
-   word of a block, not for each word of a text.
+3. Ids are joined back to the blocks by word, and within its block each code takes
+   them to its positions: what is shuffled is a row for each distinct word of a
+   block, not for each word of a text.
+4. Decoding joins the ids of a block's words with the vocabulary's table from id
+   to piece, which has a fixed size and goes to every task.
 
 Defined results: a null or empty text has no tokens and decodes to ''; repeated
 rows are encoded one by one; a null id stays null; a text of any length is one
@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,87 +38,104 @@ PARTITION_SHIFT = 32
 #: Words that the library encodes at once.
 WORDS_AT_ONCE = 20_000
 
-_SPLIT = "block long, doc_id array<long>, first array<int>, codes binary, words array<binary>"
+_TEXTS = "block long, texts binary, codes binary, words array<binary>"
 
 
 def _split(docs: DataFrame) -> DataFrame:
-    """A row for each block: its documents, where each one's words begin, the codes of all words (compressed), and the distinct words."""
+    """A row for each block: its documents and where their words begin, the codes of all words (compressed), and the distinct words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << PARTITION_SHIFT
         for block in blocks(batches, "text", TEXT_BLOCK):
             words = bpe.Words(*buffers(as_bytes(block.column("text"))))
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
             codes = pa.compress(np.asarray(words.codes, "<i4").tobytes(), codec="zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), one(block.column("doc_id").to_pylist(), pa.int64()), one(words.first, pa.int32()), pa.array([codes], pa.binary()), one(words.words, pa.binary())],
-                names=[x.split()[0] for x in _SPLIT.split(", ")],
-            )
+            texts = _packed(block.column("doc_id"), words.first)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([texts], pa.binary()), pa.array([codes], pa.binary()), pa.array([words.words], pa.list_(pa.binary()))], names=[x.split()[0] for x in _TEXTS.split(", ")])
             number += 1
 
-    return docs.mapInArrow(of, _SPLIT)
+    return docs.mapInArrow(of, _TEXTS)
+
+
+def _packed(doc_id: pa.Array, first: np.ndarray) -> bytes:
+    """Ids that may be null, and numbers one more than they, as bytes: list columns that are null in most rows are slow on their way to Python."""
+    ids, valid = np.asarray(doc_id.fill_null(0), "<i8"), np.asarray(doc_id.is_valid(), np.uint8)
+    return ids.tobytes() + valid.tobytes() + np.asarray(first, "<i4").tobytes()
+
+
+def _unpacked(texts: bytes) -> tuple[pa.Array, np.ndarray]:
+    n = (len(texts) - 4) // 13
+    ids, valid = np.frombuffer(texts, "<i8", n), np.frombuffer(texts, np.uint8, n, 8 * n)
+    return pa.array(ids, mask=valid == 0), np.frombuffer(texts, "<i4", n + 1, 9 * n)
 
 
 def _encoded(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids, ids_text) of distinct words."""
+    """(word, ids) of distinct words: ids as little-endian 16-bit numbers."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = bpe.encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, WORDS_AT_ONCE):
                 part = batch.column("word").slice(at, WORDS_AT_ONCE)
-                ids = [x.ids for x in library.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part.to_pylist()], add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(map(len, ids), pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(map(str, x)) for x in ids])], names=["word", "n", "ids", "ids_text"])
+                yield pa.RecordBatch.from_arrays([part, pa.array(library.by_library(part.to_pylist()), pa.binary())], names=["word", "ids"])
 
-    return words.mapInArrow(of, "word binary, n int, ids array<int>, ids_text string")
+    return words.mapInArrow(of, "word binary, ids binary")
 
 
-def _decoded(encoded: DataFrame, path: str) -> DataFrame:
-    """(word, pieces_text) of encoded words that have ids, through the id-to-piece join."""
-    vocabulary = [(i, w) for w, i in bpe.load(path).get_vocab(with_added_tokens=True).items()]
-    # the vocabulary's size is fixed
-    pieces = F.broadcast(encoded.sparkSession.createDataFrame(vocabulary, "id int, piece string"))
-    joined = encoded.select("word", F.posexplode("ids").alias("place", "id")).join(pieces, "id")
-    ordered = F.sort_array(F.collect_list(F.struct("place", "piece"))).getField("piece")
-    return joined.groupBy("word").agg(F.array_join(ordered, " ").alias("pieces_text"))
+_PIECES: dict[str, np.ndarray] = {}
 
 
-def _assembled(split: DataFrame, table: DataFrame, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
-    """Documents from blocks and their words' (block, code, n, ids_text, pieces_text)."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = table.select("block", "code", "n", "ids_text", "pieces_text", none("array<long>").alias("doc_id"), none("array<int>").alias("first"), none("binary").alias("codes"))
-    # after its words, whose codes are smaller
-    last = split.select("block", F.lit((1 << 31) - 1).alias("code"), none("int").alias("n"), none("string").alias("ids_text"), none("string").alias("pieces_text"), "doc_id", "first", "codes")
+def vocabulary(path: str) -> np.ndarray:
+    """The vocabulary's pieces by id, loaded once by each Python worker."""
+    if path not in _PIECES:
+        by_id = {i: w for w, i in bpe.load(path).get_vocab(with_added_tokens=True).items()}
+        _PIECES[path] = np.array([by_id.get(i, "") for i in range(max(by_id) + 1)], object)
+    return _PIECES[path]
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            at = 0
-            for end in np.flatnonzero(np.asarray(batch.column("codes").is_valid())):
-                held.append(batch.slice(at, int(end) - at))
-                words = pa.Table.from_batches(held)
-                n = words.column("n").to_numpy()
-                ids, pieces = words.column("ids_text").to_pylist(), words.column("pieces_text").to_pylist()
-                codes = np.frombuffer(_unpacked(batch.column("codes")[int(end)].as_buffer()), "<i4")
-                first = batch.column("first")[int(end)].values.to_numpy()
-                some = n > 0
-                out = []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    mine = codes[a:b]
-                    full = mine[some[mine]].tolist() if b > a else []
-                    out.append(row(int(n[mine].sum()) if b > a else 0, " ".join([ids[k] for k in full]), " ".join([pieces[k] for k in full])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[int(end)].values, *(pa.array(list(x)) for x in zip(*out, strict=True))], names=names)
-                held, at = [], int(end) + 1
-            held.append(batch.slice(at))
 
-    return rows.unionByName(last).repartition(F.col("block")).sortWithinPartitions("block", "code").mapInArrow(of, schema)
+class _Table:
+    """Of a block's words by code: number of ids, ids as text, and pieces as text."""
+
+    def __init__(self, path: str, packed: list[bytes]):
+        self.n = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        ids = np.frombuffer(b"".join(packed), "<u2")
+        # the join of ids with the vocabulary's table: a row of both for each id, in order
+        pieces, texts = vocabulary(path)[ids].tolist(), _NUMBERS[ids].tolist()
+        ends = np.cumsum(self.n).tolist()
+        self.ids = [" ".join(texts[a:b]) if b - a > 1 else texts[a] if b > a else "" for a, b in zip([0, *ends], ends)]
+        self.pieces = [" ".join(pieces[a:b]) if b - a > 1 else pieces[a] if b > a else "" for a, b in zip([0, *ends], ends)]
 
+    def of(self, codes: np.ndarray) -> tuple[int, str, str]:
+        n = self.n[codes]
+        some = codes[n > 0].tolist()
+        return int(n.sum()), " ".join([self.ids[k] for k in some]), " ".join([self.pieces[k] for k in some])
 
-def _unpacked(compressed: pa.Buffer) -> bytes:
-    import zstandard
 
-    return zstandard.ZstdDecompressor().decompressobj().decompress(compressed)
+_NUMBERS = np.array([str(i) for i in range(1 << 16)], object)
+
+
+def _assembled(split: DataFrame, table: DataFrame, path: str, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
+    """Documents from blocks and their words' (block, code, ids)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = table.select("block", "code", "ids", F.lit(b"").alias("texts"))
+    # after its words, whose codes are smaller; the codes of its texts stand in the place of ids
+    last = split.select("block", F.lit((1 << 31) - 1).alias("code"), F.col("codes").alias("ids"), "texts")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        held: list[bytes] = []
+        for batch in batches:
+            ids, at = batch.column("ids"), 0
+            for end in np.flatnonzero(np.asarray(pc.binary_length(batch.column("texts")))).tolist():
+                words = _Table(path, held + ids.slice(at, end - at).to_pylist())
+                codes = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(ids[end].as_py()), "<i4")
+                doc_id, first = _unpacked(batch.column("texts")[end].as_py())
+                out = [row(*words.of(codes[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(list(x)) for x in zip(*out, strict=True))], names=names)
+                held, at = [], end + 1
+            held += ids.slice(at).to_pylist()
+
+    return rows.unionByName(last).repartition(F.col("block")).sortWithinPartitions("block", "code").select("ids", "texts").mapInArrow(of, schema)
 
 
 def _map(docs: DataFrame, path: str, id_col: str, text_col: str, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
@@ -126,12 +144,10 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, row: Callable[[
     split = store.put(_split(needed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))))
     encoded = store.put(_encoded(split.select(F.explode("words").alias("word")).distinct(), path))
     release(spark)
-    decoded = encoded.select("word", "n", "ids_text").join(_decoded(encoded, path), "word", "left")
-    known = store.put(decoded.withColumn("pieces_text", F.coalesce("pieces_text", F.lit(""))))
+    table = store.put(split.select("block", F.posexplode("words").alias("code", "word")).join(encoded, "word").select("block", "code", "ids"))
     store.drop(1)
     release(spark)
-    table = split.select("block", F.posexplode("words").alias("code", "word")).join(known, "word").drop("word")
-    return _assembled(split, table, row, schema)
+    return _assembled(split, table, path, row, schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
