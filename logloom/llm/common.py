@@ -39,6 +39,13 @@ class Stored:
         df.write.options(**self.options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last(self, df: DataFrame) -> DataFrame:
+        """As put(), for the store's result: all tables before it go, so no later step may read them."""
+        out = self.put(df)
+        for n in range(self.n - 1):
+            self.drop(n)
+        return out
+
     def drop(self, n: int) -> None:
         """Delete table n of this store (no later step may read it)."""
         jvm = self.spark.sparkContext._jvm

@@ -174,7 +174,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     gone = store.put(_near(numbered, store).join(numbered.select("id", "set"), "id").select("set", F.lit(True).alias("gone")))
     judged = sets.select("set", "first").join(gone.hint("shuffle_hash"), "set", "left").hint("shuffle_hash")
     rows = index.join(judged, "set").where((F.struct(*ROW) != F.col("first")) | F.col("gone"))
-    return store.put(rows.select(*ROW).distinct())
+    return store.last(rows.select(*ROW).distinct())
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -275,6 +275,6 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # numbered in the order of ids; the numbers are written before anything uses them
     units = store.put(first.orderBy("doc_id", "k").withColumn("id", F.monotonically_increasing_id()))
     linked = connected_components(similar_links(store, own.select("k", "text"), units, width, radius), "a", "b")
-    stay = store.put(units.join(linked.where("node != component"), F.col("id") == F.col("node"), "left_anti").select("k"))
+    stay = store.last(units.join(linked.where("node != component"), F.col("id") == F.col("node"), "left_anti").select("k"))
     kept = own.join(stay, "k", "left_semi").withColumn("copy", F.expr("row_number() OVER (PARTITION BY k ORDER BY k)")).where("copy = 1")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

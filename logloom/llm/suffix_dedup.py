@@ -350,7 +350,7 @@ def marked(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     induced = store.put(_induced(_contents(docs, found.where("head"), length), length, gram))
     release(spark)
     runs = found.where("copy").select("doc_id", "h", "start", "windows").unionByName(induced)
-    return store.put(runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "windows")).alias("marks")))
+    return store.last(runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "windows")).alias("marks")))
 
 
 def _spans(marks: list, length: int) -> tuple[np.ndarray, np.ndarray]:
