@@ -8,9 +8,9 @@ their order is induced from there:
 1. Each window of ``LENGTH`` bytes has one *anchor*: the leftmost of its
    ``GRAM``-byte strings with the least hash.  Equal windows have equal anchors
    at equal places.  Consecutive windows with one anchor are a *stretch*.
-2. Stretches are dealt and sorted by anchor and content.  An anchor that stands
-   once is dropped; stretches with equal content are repeats as they are, and
-   one of them stands for all.
+2. Stretches are counted by anchor and content.  An anchor that stands once is
+   dropped; stretches with equal content are repeats as they are, and one of them
+   stands for all.
 3. For anchors with several contents, the suffixes that start at the anchor are
    sorted by Spark's external sort, and their common-prefix lengths are taken.
    The order of the suffixes one byte earlier is then induced: the tuples (rank,
@@ -23,7 +23,7 @@ their order is induced from there:
    ``QUEUE_ROWS`` are kept in memory-mapped files of the task.
 
 Shards are Spark partitions and are streamed; only one anchor's stretches with
-different contents are held at once, on disk if they are many.
+different contents are held at once, their matrices on disk if they are many.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH stay;
 matches never cross rows; repeated rows (also of one id) are copies of each
@@ -138,51 +138,23 @@ def _stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(of, STRETCH)
 
 
-def _repeated(dealt: DataFrame) -> DataFrame:
-    """Of stretches sorted by anchor and content: those that may repeat.
+def _repeated(found: DataFrame) -> DataFrame:
+    """Of all stretches those that may repeat, with copy: another one has this content; and several: its anchor has other contents.
 
-    copy: another stretch has this content; head: the first of its content, and
-    its anchor stands elsewhere, as far as the rows in hand tell.
+    Contents are counted before they are shuffled, and a join deals the counts out
+    again, so that an anchor or a content that stands very often is spread.
     """
+    seen = found.groupBy("anchor", "content").agg(F.count("*").alias("n"))
+    anchors = seen.groupBy("anchor").agg(F.count("*").alias("contents"), F.max("n").alias("most")).where("contents > 1 OR most > 1")
+    flags = seen.join(anchors.select("anchor", "contents"), "anchor").where("n > 1 OR contents > 1")
+    return found.join(flags.select("anchor", "content", (F.col("n") > 1).alias("copy"), (F.col("contents") > 1).alias("several")), ["anchor", "content"])
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(part: pa.Table, before, last: bool):
-            """All rows but the last, which waits for its neighbour; before is the row before them."""
-            anchor, content = (np.asarray(part.column(c)) for c in ("anchor", "content"))
-            n = len(anchor) if last else len(anchor) - 1
-            like_before = np.zeros(len(anchor) + 1, bool)
-            like_before[1:-1] = anchor[1:] == anchor[:-1]
-            same_before = np.zeros(len(anchor) + 1, bool)
-            same_before[1:-1] = like_before[1:-1] & (content[1:] == content[:-1])
-            if before is not None and len(anchor):
-                like_before[0] = anchor[0] == before[0]
-                same_before[0] = like_before[0] and content[0] == before[1]
-            copy = same_before[:-1] | same_before[1:]
-            # anchors that lie whole within these rows and have one content need no head
-            at = np.append(np.flatnonzero(~like_before[:-1]), len(anchor))
-            one = np.zeros(len(anchor), bool)
-            if len(at) > 1:
-                contents = np.add.reduceat((~same_before[:-1]).astype(np.int64), at[:-1])
-                whole = np.ones(len(contents), bool)
-                whole[-1] = last
-                one[at[0] :] = np.repeat((contents == 1) & whole, np.diff(at))
-            head = ~same_before[:-1] & (like_before[:-1] | like_before[1:]) & ~one
-            take = np.flatnonzero((copy | head)[:n])
-            out = part.take(pa.array(take)).append_column("copy", pa.array(copy[take])).append_column("head", pa.array(head[take]))
-            return out, part.slice(n), (anchor[n - 1], content[n - 1]) if n else before
-
-        rest, before = None, None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            rest = part if rest is None else pa.concat_tables([rest, part])
-            if rest.num_rows < 2:
-                continue
-            out, rest, before = judged(rest.combine_chunks(), before, False)
-            yield from out.to_batches()
-        if rest is not None and rest.num_rows:
-            yield from judged(rest.combine_chunks(), before, True)[0].to_batches()
 
-    return dealt.mapInArrow(of, STRETCH + ", copy boolean, head boolean")
+def _heads(repeated: DataFrame) -> DataFrame:
+    """The first stretch of each content of anchors that have several."""
+    place = F.struct("doc_id", "h", "start", "windows", "lead")
+    first = repeated.where("several").groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("copy").alias("copy"))
+    return first.select("anchor", "first.*", "copy")
 
 
 CONTENT = "anchor long, doc_id long, h long, start long, windows int, copy boolean, lead binary, suffix binary"
@@ -342,12 +314,11 @@ def _induced(contents: DataFrame, length: int, gram: int) -> DataFrame:
 def marked(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, h, marks): of docs (doc_id, text, h), the runs of windows that repeat, as a list of (start, windows)."""
     spark = docs.sparkSession
-    store = Stored(spark, "suffixes")
-    dealt = _stretches(docs, length, gram).repartition(F.col("anchor")).sortWithinPartitions("anchor", "content")
-    found = store.put(_repeated(dealt))
-    del dealt
+    store = Stored(spark, "suffixes", {"parquet.enable.dictionary": "false"})
+    found = store.put(_repeated(store.put(_stretches(docs, length, gram))))
+    store.drop(0)
     release(spark)
-    induced = store.put(_induced(_contents(docs, found.where("head"), length), length, gram))
+    induced = store.put(_induced(_contents(docs, _heads(found), length), length, gram))
     release(spark)
     runs = found.where("copy").select("doc_id", "h", "start", "windows").unionByName(induced)
     return store.last(runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "windows")).alias("marks")))
