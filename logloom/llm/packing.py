@@ -11,7 +11,8 @@ so nothing is padded.
 
 Defined results: a null or empty text is its end token alone; repeated rows are
 packed one by one; a null id stays null; documents of any length are cut into
-pieces, and one document's ids are held at once; further columns are ignored; an empty table gives no pieces.
+pieces, and one document's ids are held at once; further columns are ignored; an
+empty table gives no pieces.
 """
 
 from __future__ import annotations

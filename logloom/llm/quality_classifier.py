@@ -9,7 +9,8 @@ sample (``SAMPLE_ROWS`` labelled rows with the least hash of their id, texts up
 to ``SAMPLE_BYTES``); scoring reads every passage of every text, block by block.
 
 Defined results: null, empty and blank texts are one empty passage and get its
-score; repeated rows get equal scores; all other columns are passed through or
+score; repeated rows get equal scores; a null id stays null, has no label and isn't
+held out; texts of any length are scored over all their passages; all other columns are passed through or
 ignored, never used; an empty table gives an empty result; without training
 rows of both labels every score is the share of label 1 (one half without any).
 """

@@ -11,7 +11,8 @@ anomaly score above which a band's rows are dropped is where labels 0 exceed
 ``REJECT_WEIGHT`` times labels 1 the most.
 
 Defined results: a null, empty or blank text has no words and fails the base
-rules; repeated rows are judged one by one; further columns are ignored; an
+rules; repeated rows are judged one by one; a null id stays null and has no label;
+texts of any length are read whole, one block at most; further columns are ignored; an
 empty table gives an empty result; without labelled rows of both kinds only the
 base rules judge.
 """

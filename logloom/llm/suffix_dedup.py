@@ -27,7 +27,8 @@ different contents are held at once, their matrices on disk if they are many.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH stay;
 matches never cross rows; repeated rows (also of one id) are copies of each
-other; further columns are ignored; an empty table gives an empty result.
+other; a null id stays null and is an id like any other; texts of any length are cut
+into segments that overlap; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ The counts left and right of the first such boundary are added.  Without one,
 the overlap is widened (doubled) until there is, at last to the whole rest.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
-are counted one by one; columns other than the id and the text are ignored;
+are counted one by one; a null id stays null; texts of any length are counted whole, and
+one text is held at once; columns other than the id and the text are ignored;
 an empty table gives an empty result.
 """
 
@@ -60,7 +61,7 @@ def count_long(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
             start = max(begin, end - wide)
             stop = min(len(text), max(end, start) + chunk)
             if start <= begin:  # the overlap is the whole chunk: encode both as one
-                stop = min(len(text), end + chunk)
+                stop = min(len(text), end + max(chunk, end - begin))  # twice as long, so that no text is encoded many times
                 right = tokenizer.encode(text[begin:stop], add_special_tokens=False)
                 joined = None
                 break
@@ -89,6 +90,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.encoder(path)
+        if any(len(t.content) >= GUARD for t in words.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token is longer than the guard")
         for block in blocks(batches, "text"):
             column = as_bytes(block.column("text"))
             offsets, data = buffers(column)

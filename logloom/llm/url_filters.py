@@ -11,8 +11,8 @@ trusted seeds are other hosts under an allow rule.
 Rules are a parameter of at most ``MOST_RULES`` entries, so that they can be an
 expression.  Defined results: a null url or one without '://' has host and path
 '', no rule, and is allowed unless '' is reached by distrust; repeated rows are
-judged one by one; a null page has no links; further columns are ignored; an
-empty table gives an empty result.
+judged one by one; a null id stays null; a null page has no links; pages of any
+length are searched whole; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
