@@ -59,6 +59,18 @@ def zipped(keys: Column, values: Column) -> Column:
     return F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))).cast(ENTRIES)
 
 
+def let(value: Column, body) -> Column:
+    """The body of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of a pattern that the whole text matches, by one match; a text with the mark itself is matched group by group."""
+    mark = "\x1f"
+    one = F.split(F.regexp_replace(text, pattern, mark.join(f"${k}" for k in range(1, n + 1))), mark, n)
+    return F.when(F.contains(text, F.lit(mark)), F.array(*(F.regexp_extract(text, pattern, k) for k in range(1, n + 1)))).otherwise(one)
+
+
 def last_wins(found: Column) -> Column:
     """One entry for each key, the last."""
     return F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda x: x["k"] == e["k"]))
@@ -178,11 +190,15 @@ def _cef_text(c: Column) -> Column:
 def cef_profile(raw: Column) -> Column:
     """Seven unescaped bars; extension values may hold blanks; null if malformed."""
     t = trim_space(raw)
-    part = lambda i: F.regexp_extract(t, PROFILE_CEF, i)
-    head = entries(("cef_version", part(1)), *((k, _cef_text(trim_space(part(i + 2)))) for i, k in enumerate(CEF_KEYS)))
-    rest = trim_space(part(8))
-    pairs = zipped(F.regexp_extract_all(rest, F.lit(CEF_PAIR), 1), F.transform(F.regexp_extract_all(rest, F.lit(CEF_PAIR), 2), lambda v: _cef_text(trim_space(v))))
-    return F.when(t.rlike(PROFILE_CEF), F.concat(head, pairs))
+
+    def record(g: Column) -> Column:
+        head = entries(("cef_version", g[0]), *((k, _cef_text(trim_space(g[i + 1]))) for i, k in enumerate(CEF_KEYS)))
+        return F.concat(head, let(trim_space(g[7]), pairs))
+
+    def pairs(rest: Column) -> Column:
+        return zipped(F.regexp_extract_all(rest, F.lit(CEF_PAIR), 1), F.transform(F.regexp_extract_all(rest, F.lit(CEF_PAIR), 2), lambda v: _cef_text(trim_space(v))))
+
+    return F.when(t.rlike(PROFILE_CEF), let(groups(t, PROFILE_CEF, 8), record))
 
 
 def leef_strict(raw: Column) -> Column:
@@ -207,17 +223,23 @@ def leef_strict(raw: Column) -> Column:
 def leef_profile(raw: Column) -> Column:
     """Escaped bars; any hex or literal delimiter; tokens split at their first equals sign; null if malformed."""
     t = trim_space(raw)
-    part = lambda i: F.regexp_extract(t, PROFILE_LEEF, i)
-    rest = part(6)
-    named = F.regexp_extract(rest, r"(?s)^([^|]*)\|", 1)
-    modern = part(1).startswith("2") & rest.rlike(r"(?s)^[^|]{0,6}\|")
-    code = F.regexp_extract(named, r"^(?:0?x)([0-9a-fA-F]{1,2})$", 1)
-    mark = F.when(~modern | (named == "") | (named == "\\t"), F.lit("\t")).when(code != "", F.call_function("char", F.conv(code, 16, 10).cast("long"))).otherwise(named)
-    ext = F.when(modern, F.regexp_replace(rest, r"(?s)^[^|]*\|", "")).otherwise(rest)
-    tokens = F.filter(F.call_function("split", ext, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E"))), lambda x: F.contains(x, F.lit("=")))
-    pairs = zipped(F.transform(tokens, lambda x: trim_space(F.substring_index(x, "=", 1))), F.transform(tokens, lambda x: trim_space(F.substring(x, F.instr(x, "=") + 1, F.length(x)))))
-    head = entries(("leef_version", part(1)), ("vendor", part(2)), ("product", part(3)), ("version", part(4)), ("event_id", part(5)))
-    return F.when(t.rlike(PROFILE_LEEF), F.concat(head, F.filter(pairs, lambda e: e["k"] != "")))
+
+    def record(g: Column) -> Column:
+        rest = g[5]
+        named = F.regexp_extract(rest, r"(?s)^([^|]*)\|", 1)
+        modern = g[0].startswith("2") & rest.rlike(r"(?s)^[^|]{0,6}\|")
+        code = F.regexp_extract(named, r"^(?:0?x)([0-9a-fA-F]{1,2})$", 1)
+        mark = F.when(~modern | (named == "") | (named == "\\t"), F.lit("\t")).when(code != "", F.call_function("char", F.conv(code, 16, 10).cast("long"))).otherwise(named)
+        ext = F.when(modern, F.regexp_replace(rest, r"(?s)^[^|]*\|", "")).otherwise(rest)
+        tokens = F.filter(F.call_function("split", ext, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E"))), lambda x: F.contains(x, F.lit("=")))
+        head = entries(("leef_version", g[0]), ("vendor", g[1]), ("product", g[2]), ("version", g[3]), ("event_id", g[4]))
+        return F.concat(head, let(tokens, pairs))
+
+    def pairs(tokens: Column) -> Column:
+        found = zipped(F.transform(tokens, lambda x: trim_space(F.substring_index(x, "=", 1))), F.transform(tokens, lambda x: trim_space(F.substring(x, F.instr(x, "=") + 1, F.length(x)))))
+        return F.filter(found, lambda e: e["k"] != "")
+
+    return F.when(t.rlike(PROFILE_LEEF), let(groups(t, PROFILE_LEEF, 6), record))
 
 
 def csv_record(raw: Column, delimiter: str = ",") -> Column:
