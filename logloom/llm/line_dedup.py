@@ -119,6 +119,12 @@ def _described(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"set": F.xxhash64("keys"), "n": F.size("keys"), "s0": F.expr(whole), "s1": F.expr(f"if(size(keys) >= {WIDE}, {half}, 0L)"), "prefix": prefix})
 
 
+def _firsts(known: DataFrame) -> DataFrame:
+    """The earliest line of each set; Spark limits each task's part of a hot set before it deals the rest out."""
+    ranked = known.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY set ORDER BY {', '.join(ROW)})"))
+    return ranked.where("rank = 1").select("set", F.struct(*ROW).alias("first"), "n", "s0", "s1", "prefix")
+
+
 def _postings(sets: DataFrame, name: str) -> DataFrame:
     """(name, word, n, left, s0, s1) of the prefix words; left is how many words there are from this one on."""
     return sets.select(name, "n", "s0", "s1", F.posexplode("prefix").alias("place", "word")).select(name, "word", "n", (F.col("n") - F.col("place")).alias("left"), "s0", "s1")
@@ -154,15 +160,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     store = Stored(spark, "lines", {"parquet.enable.dictionary": "false"})
     classes = _classes(store, docs)
     known = store.put(_described(_with_keys(_lines(docs), classes)).drop("keys"))
-    # the earliest line of each set; Spark limits each task's part of a hot set before it deals the rest out
-    first = known.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY set ORDER BY {', '.join(ROW)})")).where("rank = 1")
-    sets = store.put(first.select("set", F.struct(*ROW).alias("first"), "n", "s0", "s1", "prefix"))
+    sets = store.put(_firsts(known))
     index = store.put(known.select(*ROW, "set"))
     store.drop(1)
     release(spark)
     a, b = (_postings(sets, "set").alias(x) for x in "ab")
     able = store.put(a.join(b, F.expr(f"{_MAY_MATCH} AND a.set != b.set"), "left_semi").select("set").distinct())
-    del first, a, b
+    del a, b
     release(spark)
     wanted = store.put(sets.join(able, "set").select("first.*", "first"))
     lines, wanted = _lines(docs).where(_listed(wanted)), wanted.hint("shuffle_hash")
@@ -185,7 +189,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per document: its lines, how many go, and their positions from 0 as text."""
     docs = _identified(docs, id_col, text_col)
     gone = removed_lines(docs).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    counts = docs.select("doc_id", "h", F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    counts = docs.select("doc_id", "h", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
     joined = counts.join(gone, counts.doc_id.eqNullSafe(gone.doc_id) & (counts.h == gone.h), "left")
     return joined.select(counts.doc_id, "n_lines", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"))
 
