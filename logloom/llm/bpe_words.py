@@ -32,7 +32,7 @@ from . import bpe
 from .common import Stored, as_bytes, blocks, buffers, needed, release
 
 #: Bytes of text in a block.
-TEXT_BLOCK = 16 << 20
+TEXT_BLOCK = 32 << 20
 #: Blocks are numbered from the task's partition << this.
 PARTITION_SHIFT = 32
 #: Words that the library encodes at once.
