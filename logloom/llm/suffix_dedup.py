@@ -316,8 +316,8 @@ def marked(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """(doc_id, h, marks): of docs (doc_id, text, h), the runs of windows that repeat, as a list of (start, windows)."""
     spark = docs.sparkSession
     store = Stored(spark, "suffixes", {"parquet.enable.dictionary": "false"})
-    found = store.put(_repeated(store.put(_stretches(docs, length, gram))))
-    store.drop(0)
+    # stretches are found twice, once to be counted: stored, they would take as much disk as the texts
+    found = store.put(_repeated(_stretches(docs, length, gram)))
     release(spark)
     induced = store.put(_induced(_contents(docs, _heads(found), length), length, gram))
     release(spark)
