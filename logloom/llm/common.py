@@ -99,6 +99,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    trim()  # the worker may idle on while others need the memory
 
 
 def needed(df: DataFrame, **columns: str) -> DataFrame:

@@ -48,7 +48,7 @@ from .common import Stored, as_bytes, blocks, buffers, needed, release
 
 LENGTH, GRAM = 200, 32
 #: Bytes whose windows are handled at once; positions within need 24 bits.
-SEGMENT = 2 << 20
+SEGMENT = 512 << 10
 #: Rows of stretches that are induced at once, and beyond which queues are files.
 BATCH_ROWS, QUEUE_ROWS = 20_000, 200_000
 
