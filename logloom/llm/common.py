@@ -53,11 +53,11 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished steps."""
+def release(spark: SparkSession, seconds: float = 0.5) -> None:
+    """Let Spark's cleaner delete shuffle files of finished steps; it works in the background, longer on many files."""
     trim()
     spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works in the background
+    time.sleep(seconds)
 
 
 def trim() -> None:
