@@ -143,10 +143,10 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, row: Callable[[
     store = Stored(spark, "words", {"compression": "zstd"})
     split = store.put(_split(needed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))))
     encoded = store.put(_encoded(split.select(F.explode("words").alias("word")).distinct(), path))
-    release(spark, 2.5)
+    release(spark)
     table = store.put(split.select("block", F.posexplode("words").alias("code", "word")).join(encoded, "word").select("block", "code", "ids"))
     store.drop(1)
-    release(spark, 2.5)
+    release(spark)
     return _assembled(split, table, path, row, schema)
 
 
