@@ -16,7 +16,7 @@ import re
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTRIES = "array<struct<k:string,v:string>>"
@@ -64,6 +64,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with columns that are evaluated once, however many later columns and filters name them: no projection is merged with a generator."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return rows.select(*kept, made)
+
+
 def groups(text: Column, pattern: str, n: int) -> Column:
     """All groups of a pattern that the whole text matches, by one match; a text with the mark itself is matched group by group."""
     mark = "\x1f"

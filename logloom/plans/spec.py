@@ -171,14 +171,15 @@ def apply(events: DataFrame, spec: dict, raw: str = "raw", year: int = 2024) ->
 
     Catalyst prunes whatever of these is not asked for.
     """
-    out = events.withColumn("fields", raw_fields(spec, F.col(raw)))
+    out = parse.once(events, fields=raw_fields(spec, F.col(raw)))
+    found_by_place = [parse.lookup(F.col("fields"), name).alias(f"f{k}") for k, name in enumerate(spec["fields"])]
+    out = parse.once(out, _found=F.struct(*found_by_place)) if found_by_place else out
     by_path: dict[str, list[Column]] = {}
     errors, lineage = [], []
     low = F.lower(F.col(raw))
     kind = spec["body_parser"]["type"]
-    for name, field in spec["fields"].items():
-        found = parse.lookup(F.col("fields"), name)
-        value, failed = _field(found, field, year)
+    for k, (name, field) in enumerate(spec["fields"].items()):
+        value, failed = _field(F.col("_found")[f"f{k}"], field, year)
         by_path.setdefault(field["map_to"], []).append(value)
         errors.append(F.when(failed, F.lit(f'field "{name}" type conversion error')))
         located = F.lit(True) if kind in ("json", "csv") else F.contains(low, F.lit(name.lower())) | F.contains(low, F.lower(value))
@@ -199,6 +200,7 @@ def apply(events: DataFrame, spec: dict, raw: str = "raw", year: int = 2024) ->
         out.withColumn("unknown", F.filter(parse.last_wins(F.coalesce("fields", parse.empty())), lambda e: ~F.lower(e["k"]).isin(*used)))
         .withColumn("errors", F.filter(F.array(*errors), present))
         .withColumn("lineage", F.filter(F.array(*lineage), present))
+        .drop("_found")
     )
 
 

@@ -410,8 +410,7 @@ def ir_more_violations(spark, sf_dir):
 
 @query("SELECT event_id, event_id % 5 = 4 AS exported FROM events")
 def export_admission(spark, sf_dir):
-    e = _broken(spark, sf_dir)
-    return normalize.admitted(e).select("event_id", F.lit(True).alias("exported")).unionByName(normalize.refused(e).select("event_id", F.lit(False).alias("exported")))
+    return normalize.admission(_broken(spark, sf_dir)).select("event_id", F.col("admitted").alias("exported"))
 
 
 @query(CANON + "SELECT event_id, act AS action, src AS src_ip, dpt AS dst_port, 's' || event_id AS sid, CAST(0 AS INTEGER) AS n_violations FROM canon")

@@ -70,3 +70,20 @@ def test_queries_without_sql(spark):
     scored = QUERIES["map_fields_scored"](spark, DIR).collect()
     best = {r["field"]: r["path"] for r in QUERIES["map_fields_best"](spark, DIR).collect()}
     assert {r["field"]: r["path"] for r in scored if r["rank"] == 1} == best and all(0 <= r["score"] <= 1 for r in scored) and len(scored) == 3 * len(best)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_admission_parses_a_line_once(spark):
+    """Checks of canonical columns don't repeat how these are made: the parser's pattern stands there for keys and values only."""
+    from logloom.operators import normalize
+    from logloom.queries import _broken
+
+    events = _broken(spark, DIR)
+    assert optimized(QUERIES["export_admission"](spark, DIR)).count(r"\G[") == 2
+    taken, left = normalize.admitted(events), normalize.refused(events)
+    assert "violations" not in taken.columns and "violations" in left.columns
+    assert optimized(left).count(r"\G[") == 2
+    assert taken.count() + left.count() == events.count() and taken.where("event_id % 5 <> 4").count() == 0
