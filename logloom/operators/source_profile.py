@@ -27,7 +27,7 @@ class Format:
 
 def nonblank(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Lines without those that are blank, trimmed."""
-    return lines.withColumn(raw, parse.trim_space(F.col(raw))).where(F.col(raw) != "")
+    return parse.once(lines, **{raw: parse.trim_space(F.col(raw))}).where(F.col(raw) != "")
 
 
 def detect(lines: DataFrame, raw: str = "raw", order: str = "line") -> Format:
@@ -76,8 +76,10 @@ def records(lines: DataFrame, found: Format, raw: str = "raw") -> DataFrame:
     for name in parse.FORMATS:
         if name not in ("TEXT", found.name):
             own = F.when(F.col("_own") == name, parse_as(name, F.col(raw))).otherwise(own)
-    out = lines.withColumn("_hinted", filled(parse_as(found.name, F.col(raw), found.delimiter, found.headers)))
-    out = out.withColumn("_own", F.when(F.col("_hinted").isNull(), parse.detect_format(F.col(raw)))).withColumn("_fallback", filled(own))
+    # each parsed once for a line
+    out = parse.once(lines, _hinted=parse_as(found.name, F.col(raw), found.delimiter, found.headers)).withColumn("_hinted", filled(F.col("_hinted")))
+    out = parse.once(out, _own=F.when(F.col("_hinted").isNull(), parse.detect_format(F.col(raw))))
+    out = parse.once(out, _fallback=own).withColumn("_fallback", filled(F.col("_fallback")))
     out = out.withColumn("fields", F.coalesce("_hinted", "_fallback"))
     return out.withColumn("format", F.when(F.col("_hinted").isNotNull(), found.name).when(F.col("_fallback").isNotNull(), F.col("_own"))).drop("_hinted", "_own", "_fallback")
 
@@ -114,6 +116,6 @@ def field_profile(parsed: DataFrame, order: str = "line") -> DataFrame:
 
 def templates(parsed: DataFrame, raw: str = "raw", order: str = "line", most: int | None = profile.TEMPLATES) -> DataFrame:
     """The most frequent templates of the valid records, with their share."""
-    valid = parsed.where("fields is not null").withColumn("_message", message(F.col("fields"), F.col(raw)))
+    valid = parse.once(parsed.where("fields is not null"), _message=message(F.col("fields"), F.col(raw)))
     mined = profile.mine_templates(valid, "_message", order, most)
     return mined.withColumn("frequency_ratio", F.round(F.col("n") / F.greatest(valid.agg(F.count("*")).scalar(), F.lit(1)), 4))

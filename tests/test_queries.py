@@ -87,3 +87,13 @@ def test_admission_parses_a_line_once(spark):
     assert "violations" not in taken.columns and "violations" in left.columns
     assert optimized(left).count(r"\G[") == 2
     assert taken.count() + left.count() == events.count() and taken.where("event_id % 5 <> 4").count() == 0
+
+
+def test_templates_parse_a_line_once(spark):
+    """The header's pattern stands there for one match only, with its eight groups as the way out; the line itself is rendered once."""
+    from logloom.operators import source_profile
+    from logloom.queries import _source
+
+    lines = _source(spark, DIR)
+    plan = optimized(source_profile.templates(source_profile.records(lines, source_profile.Format("CEF", 1.0)), most=None).select("template", "n"))
+    assert plan.count(r"^CEF:\s*") == 10 and plan.count("CEF:0|broken|") == 1
