@@ -1,13 +1,14 @@
 """Encoding and decoding with a distinct-word table.
 
 1. Tasks split their texts into words.  A block of texts keeps, for each word in
-   turn, its code among the block's distinct words; codes and distinct words are
-   written once.
-2. All blocks' words make one table of distinct words in Spark, and the tokenizer
-   library encodes each of them once.
-3. Ids are joined back to the blocks by word, and within its block each code takes
-   them to its positions: what is shuffled is a row for each distinct word of a
-   block, not for each word of a text.
+   turn, its code among the block's distinct words; frequent words have small
+   codes.  Distinct words are dealt out by hash, one compressed row for each
+   block and part of the hash's range.
+2. Together the parts are one table of distinct words: all blocks' words of a part
+   meet in one task, and the tokenizer library encodes each of them once.
+3. Ids are joined back to the blocks by part and place, and within its block each
+   code takes them to its positions: what is shuffled is an entry for each distinct
+   word of a block, not for each word of a text.
 4. Decoding joins the ids of a block's words with the vocabulary's table from id
    to piece, which has a fixed size and goes to every task.
 
@@ -19,17 +20,18 @@ block at most; further columns are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Stored, as_bytes, blocks, buffers, needed, release
+from .common import Stored, as_bytes, blocks, buffers, needed, release, shuffle_partitions
 
 #: Bytes of text in a block.
 TEXT_BLOCK = 32 << 20
@@ -37,23 +39,61 @@ TEXT_BLOCK = 32 << 20
 PARTITION_SHIFT = 32
 #: Words that the library encodes at once.
 WORDS_AT_ONCE = 20_000
+#: Place of a block's codes, after its parts.
+CODES = (1 << 31) - 1
 
-_TEXTS = "block long, texts binary, codes binary, words array<binary>"
+#: Parts have words, later ids, as body; codes have texts, too.  sum tells whether parts and codes are of one splitting.
+_ROWS = "block long, part int, sum long, body binary, texts binary"
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
-def _split(docs: DataFrame) -> DataFrame:
-    """A row for each block: its documents and where their words begin, the codes of all words (compressed), and the distinct words."""
+def _shut(*numbers: np.ndarray, rest: bytes = b"") -> bytes:
+    """Arrays of numbers and bytes, compressed; the numbers' low bytes stand together, as their high ones do."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in numbers]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(len(x).to_bytes(8, "little") for x in numbers), *planes, rest]))
+
+
+def _opened(body: bytes, *kinds: str) -> tuple:
+    """What _shut() was given, numbers as these kinds."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    out, at = [], 8 * len(kinds)
+    for k, kind in enumerate(map(np.dtype, kinds)):
+        n = int.from_bytes(raw[8 * k : 8 * k + 8], "little")
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * kind.itemsize
+    return *out, raw[at:]
+
+
+def _split(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows of each block: its distinct words by part; its documents and where their words begin, with the codes of all words and each code's part."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << PARTITION_SHIFT
         for block in blocks(batches, "text", TEXT_BLOCK):
             words = bpe.Words(*buffers(as_bytes(block.column("text"))))
-            codes = pa.compress(np.asarray(words.codes, "<i4").tobytes(), codec="zstd", asbytes=True)
-            texts = _packed(block.column("doc_id"), words.first)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([texts], pa.binary()), pa.array([codes], pa.binary()), pa.array([words.words], pa.list_(pa.binary()))], names=[x.split()[0] for x in _TEXTS.split(", ")])
+            n = len(words.dictionary)
+            by_rank = np.argsort(-np.bincount(words.codes, minlength=n), kind="stable")
+            rank = np.empty(n, "<u4")
+            rank[by_rank] = np.arange(n)
+            part = (pd.util.hash_array(np.array([*words.words, None], object)[:-1], categorize=False) % np.uint64(parts)).astype("<u4")[by_rank]
+            order = np.argsort(part, kind="stable")
+            offsets, data = buffers(words.dictionary.take(pa.array(by_rank[order])))
+            bounds = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+            some = [k for k in range(parts) if bounds[k] < bounds[k + 1]]
+            bodies = [_shut(np.diff(offsets[bounds[k] : bounds[k + 1] + 1]).astype("<u4"), rest=data[offsets[bounds[k]] : offsets[bounds[k + 1]]].tobytes()) for k in some]
+            bodies.append(_shut(rank[words.codes], part))
+            texts = [b""] * len(some) + [_packed(block.column("doc_id"), words.first)]
+            total = zlib.crc32(data) ^ n
+            columns = [pa.array([number] * len(bodies)), pa.array([*some, CODES], pa.int32()), pa.array([total] * len(bodies)), pa.array(bodies, pa.binary()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
             number += 1
 
-    return docs.mapInArrow(of, _TEXTS)
+    return docs.mapInArrow(of, _ROWS)
 
 
 def _packed(doc_id: pa.Array, first: np.ndarray) -> bytes:
@@ -68,17 +108,34 @@ def _unpacked(texts: bytes) -> tuple[pa.Array, np.ndarray]:
     return pa.array(ids, mask=valid == 0), np.frombuffer(texts, "<i4", n + 1, 9 * n)
 
 
-def _encoded(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words: ids as little-endian 16-bit numbers."""
+def _encoded(split: DataFrame, path: str, parts: int) -> DataFrame:
+    """The rows with ids in the place of words: how many each word has, and all as 16-bit numbers."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = bpe.encoder(path)
+        known: dict[bytes, bytes] = {}  # this task's distinct words
+
+        def ids(body: bytes) -> bytes:
+            size, data = _opened(body, "<u4")
+            ends = np.cumsum(size, dtype=np.int64).tolist()
+            words = [data[a:b] for a, b in zip([0, *ends], ends)]
+            new = [w for w in words if w not in known]
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                some = new[at : at + WORDS_AT_ONCE]
+                known.update(zip(some, library.by_library(some), strict=True))
+            packed = [known[w] for w in words]
+            return _shut(np.fromiter(map(len, packed), "<u4", len(packed)) // np.uint32(2), np.frombuffer(b"".join(packed), "<u2"))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, WORDS_AT_ONCE):
-                part = batch.column("word").slice(at, WORDS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([part, pa.array(library.by_library(part.to_pylist()), pa.binary())], names=["word", "ids"])
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                if one.column("part")[0].as_py() != CODES:
+                    one = one.set_column(3, "body", pa.array([ids(one.column("body")[0].as_py())], pa.binary()))
+                yield one
 
-    return words.mapInArrow(of, "word binary, ids binary")
+    # codes go to any task
+    to = F.when(F.col("part") == CODES, F.pmod(F.xxhash64("block"), F.lit(parts))).otherwise(F.col("part"))
+    return split.repartitionById(parts, to.cast("int")).mapInArrow(of, _ROWS)
 
 
 _PIECES: dict[str, np.ndarray] = {}
@@ -95,9 +152,8 @@ def vocabulary(path: str) -> np.ndarray:
 class _Table:
     """Of a block's words by code: number of ids, ids as text, and pieces as text."""
 
-    def __init__(self, path: str, packed: list[bytes]):
-        self.n = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
-        ids = np.frombuffer(b"".join(packed), "<u2")
+    def __init__(self, path: str, n: np.ndarray, ids: np.ndarray):
+        self.n = n.astype(np.int64)
         # the join of ids with the vocabulary's table: a row of both for each id, in order
         pieces, texts = vocabulary(path)[ids].tolist(), _NUMBERS[ids].tolist()
         ends = np.cumsum(self.n).tolist()
@@ -113,41 +169,45 @@ class _Table:
 _NUMBERS = np.array([str(i) for i in range(1 << 16)], object)
 
 
-def _assembled(split: DataFrame, table: DataFrame, path: str, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
-    """Documents from blocks and their words' (block, code, ids)."""
+def _assembled(encoded: DataFrame, path: str, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
+    """Documents from blocks: the ids of their parts, then their codes."""
     names = [x.split()[0] for x in schema.split(", ")]
-    rows = table.select("block", "code", "ids", F.lit(b"").alias("texts"))
-    # after its words, whose codes are smaller; the codes of its texts stand in the place of ids
-    last = split.select("block", F.lit((1 << 31) - 1).alias("code"), F.col("codes").alias("ids"), "texts")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        held: list[bytes] = []
+        held: list[tuple] = []
+        sums: set[int] = set()
         for batch in batches:
-            ids, at = batch.column("ids"), 0
-            for end in np.flatnonzero(np.asarray(pc.binary_length(batch.column("texts")))).tolist():
-                words = _Table(path, held + ids.slice(at, end - at).to_pylist())
-                codes = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(ids[end].as_py()), "<i4")
-                doc_id, first = _unpacked(batch.column("texts")[end].as_py())
-                out = [row(*words.of(codes[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            for k in range(batch.num_rows):
+                _, part, total, body, texts = (c[k].as_py() for c in batch.columns)
+                sums.add(total)
+                if part != CODES:
+                    held.append(_opened(body, "<u4", "<u2"))
+                    continue
+                codes, parts, _ = _opened(body, "<u4", "<u4")
+                if len(sums) > 1 or sum(len(x[0]) for x in held) != len(parts):
+                    raise ValueError("words and codes of a block are of different splittings")
+                table = _Table(path, *(np.concatenate([x[i] for x in held] or [np.zeros(0, kind)]) for i, kind in enumerate(("<u4", "<u2"))))
+                # the words stand by part, and within it by code
+                place = np.empty(len(parts), np.int64)
+                place[np.argsort(parts, kind="stable")] = np.arange(len(parts))
+                codes = place[codes]
+                doc_id, first = _unpacked(texts)
+                out = [row(*table.of(codes[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(list(x)) for x in zip(*out, strict=True))], names=names)
-                held, at = [], end + 1
-            held += ids.slice(at).to_pylist()
+                held, sums = [], set()
 
-    return rows.unionByName(last).repartition(F.col("block")).sortWithinPartitions("block", "code").select("ids", "texts").mapInArrow(of, schema)
+    return encoded.repartition(F.col("block")).sortWithinPartitions("block", "part").mapInArrow(of, schema)
 
 
 def _map(docs: DataFrame, path: str, id_col: str, text_col: str, row: Callable[[int, str, str], tuple], schema: str) -> DataFrame:
     spark = docs.sparkSession
-    store = Stored(spark, "words", {"compression": "zstd"})
-    split = store.put(_split(needed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))))
-    encoded = store.put(_encoded(split.select(F.explode("words").alias("word")).distinct(), path))
-    release(spark)
-    table = store.put(split.select("block", F.posexplode("words").alias("code", "word")).join(encoded, "word").select("block", "code", "ids"))
-    store.drop(1)
+    store = Stored(spark, "words", {"compression": "uncompressed", "parquet.enable.dictionary": "false"})
+    parts = shuffle_partitions(spark)
+    split = _split(needed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), parts)
+    encoded = store.put(_encoded(split, path, parts))
+    del split
     release(spark)
-    return _assembled(split, table, path, row, schema)
+    return _assembled(encoded, path, row, schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

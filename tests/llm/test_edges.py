@@ -156,3 +156,25 @@ def test_rarity_table_stays_out_of_rows(spark, tmp_path):
     plan = keyed._jdf.queryExecution().optimizedPlan().toString()
     assert "classes" not in plan and "scalar-subquery" in plan
     assert [r["n"] for r in keyed.orderBy("pos").collect()] == [3, 2]
+
+
+def test_bpe_words_go_out_in_few_rows(spark):
+    """A block has one row for each part at most, and one of codes; rows of different splittings don't make texts."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j}" for j in range(200))) for k in range(40)], "doc_id long, text string").coalesce(1)
+    rows = bpe_words._split(docs, 3)
+    assert 2 <= rows.count() <= 4
+    other = bpe_words._encoded(rows, WORDS, 3).withColumn("sum", F.when(F.col("part") == 0, 0).otherwise(F.col("sum")))
+    with pytest.raises(Exception, match="different splittings"):
+        bpe_words._assembled(other, WORDS, lambda n, ids, text: (n, ids, text), "doc_id long, n_tokens long, ids string, decoded string").collect()
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    import glob
+
+    from logloom.llm.common import Stored
+
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    stored = Stored(spark, "leaves").put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before and stored.count() == 7
