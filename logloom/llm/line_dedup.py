@@ -55,16 +55,16 @@ ROW = ("doc_id", "h", "pos")
 
 
 def _plain(text: Column) -> Column:
-    """All white space but line ends as spaces."""
+    """All white space but line ends as spaces; looking for a character is much cheaper than replacing one that is not there."""
+    plain, odd = text, F.lit(False)
     for c in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+        plain, odd = F.replace(plain, F.lit(c), F.lit(" ")), odd | F.contains(text, F.lit(c))
+    return F.when(odd, plain).otherwise(text)
 
 
 def _classes(store: Stored, docs: DataFrame) -> Column:
     """The class of every bucket: one array of small numbers, as a subquery."""
-    word = F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " "))
-    buckets = docs.select(word.alias("word")).select(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    buckets = _lines(docs).select(F.explode(F.split("line", " ")).alias("word")).select(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
     empty = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).unionByName(empty).groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * 4) + 1, F.lit(_TOP_CLASS)).cast("byte")
@@ -126,15 +126,20 @@ def _firsts(known: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame, name: str) -> DataFrame:
-    """(name, word, n, left, s0, s1) of the prefix words; left is how many words there are from this one on."""
-    return sets.select(name, "n", "s0", "s1", F.posexplode("prefix").alias("place", "word")).select(name, "word", "n", (F.col("n") - F.col("place")).alias("left"), "s0", "s1")
+    """(name, word, n, most, s0, s1) of the prefix words, none null, so that no pair is tested for nulls.
+
+    most: how many words a set may have whose first common word with this one it is, by length (n >= 4 in 5) and place
+    (of both sets' words 4 in 9 must still come, from this one on).
+    """
+    rows = sets.select(name, "n", "s0", "s1", F.posexplode("prefix").alias("place", "word"))
+    most = F.expr("int((5L * n - 9L * place) div 4)")
+    return rows.select(name, "word", "n", most.alias("most"), "s0", "s1").select(*(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in ((name, "long"), ("word", "long"), ("n", "int"), ("most", "int"), ("s0", "long"), ("s1", "long"))))
 
 
 #: Length, positional and signature filters on sets a and b whose first common word this is: of their n words
 #: together, 4 in 9 must be common, so 1 in 9 may differ.
-_MAY_MATCH = f"""a.word = b.word AND 9 * least(a.left, b.left) >= 4 * (a.n + b.n) AND 9 * bit_count(a.s0 ^ b.s0) <= a.n + b.n
-AND (least(a.n, b.n) < {WIDE} OR 9 * (bit_count(a.s1 ^ b.s1) + bit_count(a.s0 ^ a.s1 ^ b.s0 ^ b.s1)) <= a.n + b.n)
-AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"""
+_MAY_MATCH = f"""a.word = b.word AND b.n <= a.most AND a.n <= b.most AND 9 * bit_count(a.s0 ^ b.s0) <= a.n + b.n
+AND (a.n < {WIDE} OR b.n < {WIDE} OR 9 * (bit_count(a.s1 ^ b.s1) + bit_count(a.s0 ^ a.s1 ^ b.s0 ^ b.s1)) <= a.n + b.n)"""
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,7 +152,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _near(sets: DataFrame, store: Stored) -> DataFrame:
     """The sets (id, n, s0, s1, prefix, keys) that have a similar set of a smaller id: (id)."""
     rows = _postings(sets, "id")
-    heads = rows.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("sharing"), *(F.min_by(c, "id").alias(c) for c in ("n", "left", "s0", "s1"))).where("sharing > 1")
+    heads = rows.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("sharing"), *(F.min_by(c, "id").alias(c) for c in ("n", "most", "s0", "s1"))).where("sharing > 1")
     pairs = lambda a, b: a.alias("a").join(b.alias("b"), F.expr(f"b.id < a.id AND {_MAY_MATCH}")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
     first = store.put(_similar(pairs(rows, heads), sets))
     rest = _postings(sets.join(first, "id", "left_anti"), "id")

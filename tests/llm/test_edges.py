@@ -178,3 +178,20 @@ def test_a_stored_step_leaves_no_shuffle_files(spark):
     before = files()
     stored = Stored(spark, "leaves").put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert not files() - before and stored.count() == 7
+
+
+def test_white_space_is_replaced_only_where_it_is(spark):
+    """Texts without tabs and the like are only searched for them, in each pass over the texts; with them, words are the same."""
+    from logloom.llm.common import Stored
+
+    texts = ["a b c d e", "a\tb\x0bc\x0cd\re", "\t\r \x0b\x0c\n\tz y\n\n \r", "q\rr s", None, "", "q\x0cs r"]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, h long, text string")
+    lines = line_dedup._lines(docs)
+    got = [(r["doc_id"], r["pos"], r["line"].split(" ")) for r in lines.orderBy("doc_id", "pos").collect()]
+    want = [(i, p, re.split("[ \t\x0b\x0c\r]", x)) for i, t in enumerate(texts) if t is not None for p, x in enumerate(t.split("\n")) if WORD.search(x)]
+    assert got == want
+    keyed = line_dedup._with_keys(lines, line_dedup._classes(Stored(spark, "test"), docs))
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == 4 and plan.count("Contains(") == 4 and "CASE WHEN" in plan
+    removed = {r["doc_id"]: r["removed_lines"] for r in line_dedup.removals(docs.drop("h")).collect()}
+    assert removed == {0: "", 1: "0", 2: "", 3: "", 4: "", 5: "", 6: "0"}
